@@ -76,8 +76,12 @@ MARGIN_SQL = " + ".join(
 )
 
 
+def raw_probability_sql(margin: str) -> str:
+    return f"(1.0::DOUBLE / (1.0::DOUBLE + exp(-({margin}))))"
+
+
 def probability_sql(margin: str) -> str:
-    return f"round(1.0::DOUBLE / (1.0::DOUBLE + exp(-({margin}))), 6)"
+    return f"round({raw_probability_sql(margin)}, 6)"
 
 
 def tier_sql(prob: str) -> str:
@@ -149,7 +153,9 @@ featured AS (
     {MULTI_SQL} AS "HasMultiServices",
     CASE WHEN "SeniorCitizen" = 1 AND "Partner" = 'Yes' THEN 1 ELSE 0 END AS "IsSeniorWithPartner"
   FROM accounts),
-probable AS (SELECT *, {probability_sql(MARGIN_SQL)} AS churn_prob FROM featured),
+probable AS (
+  SELECT *, {probability_sql(MARGIN_SQL)} AS churn_prob, {raw_probability_sql(MARGIN_SQL)} AS raw_prob
+  FROM featured),
 scored AS (
   SELECT *, greatest(0, 72 - tenure) AS expected_remaining_tenure,
     "MonthlyCharges" * greatest(0, 72 - tenure) * (1.0::DOUBLE - churn_prob) AS "CLV",

@@ -12,11 +12,8 @@ def uniform(key: Column, salt: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def prediction_id(key: Column, at: Column) -> Column:
-    """``pred_<time>_<six hex>``; the hex part is a hash of the key, so a replay repeats the id."""
-    return F.concat(
-        F.lit("pred_"),
-        F.date_format(at, "yyyyMMdd_HHmmss"),
-        F.lit("_"),
-        F.substring(F.sha2(key.cast("string"), 256), 1, 6),
-    )
+def prediction_id(key: Column, at: Column, digits: int = 16) -> Column:
+    """``pred_<time>_<hex>``; the hex part hashes key and time, so a replay repeats the id."""
+    stamp = F.date_format(at, "yyyyMMdd_HHmmss")
+    digest = F.sha2(F.concat_ws("-", key.cast("string"), stamp), 256)
+    return F.concat(F.lit("pred_"), stamp, F.lit("_"), F.substring(digest, 1, digits))
