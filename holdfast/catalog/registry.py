@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast import schema as S
 from holdfast.operators.scorecard import DEFAULT_CARD
+from holdfast.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +23,13 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = f"{VIEWS}\n{oracle.strip()}"
         return fn

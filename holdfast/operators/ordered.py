@@ -111,7 +111,9 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<name>`` over all rows in value order; ``counts`` has one row per value."""
     spread = counts.agg(_bounds(value, buckets).alias("_bounds"))
-    placed = counts.withColumn("_bucket", _bucket(F.col(value), spread.scalar()))
+    placed = counts.withColumn("_bounds", spread.scalar()).withColumn(
+        "_bucket", _bucket(F.col(value), F.col("_bounds"))
+    )
     order = F.desc if descending else F.asc
     totals = placed.groupBy("_bucket").agg(*[F.sum(s).alias(f"_in_{s}") for s in sums])
     # At most one row per bucket goes through the single window task and the broadcast.

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="holdfast-checkpoint-")
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for the Python kernels.
+
+    A cluster job can pass it with ``--py-files`` instead; sending it again does no harm.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="holdfast-package-"))
+    archive = shutil.make_archive(str(folder / "holdfast"), "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
