@@ -27,6 +27,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # event times carry no zone
             return fn(spark, sf_dir)
 
         QUERIES[name] = run

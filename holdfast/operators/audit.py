@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from holdfast import schema as S
 from holdfast.functions.hashing import prediction_id
@@ -28,7 +29,7 @@ def append_audit(rows: DataFrame, path: str) -> None:
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    schema = S.AUDIT_SCHEMA.add("day", "date") if "day" not in S.AUDIT_SCHEMA.names else S.AUDIT_SCHEMA
+    schema = T.StructType([*S.AUDIT_SCHEMA.fields, T.StructField("day", T.DateType())])
     return spark.read.schema(schema).parquet(path)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,23 +31,32 @@ def local_session(cpus: int | str = 8, app: str = "holdfast") -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the cluster shares.
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share, as named in ``spark.checkpoint.dir``.
 
-    The folder is the one named in ``spark.checkpoint.dir``. Only a local session that names none
-    gets a folder of its own; a cluster session without the setting is an error, since a
-    machine-local folder is lost with the machine.
+    Only a local session that names none gets a folder of its own; a cluster session without the
+    setting is an error, since a machine-local folder is lost with the machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="holdfast-checkpoint-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if shared is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="holdfast-shared-")
         context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    return shared
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new path below the shared folder, for a written table, a model or stream progress."""
+    return f"{shared_root(spark).rstrip('/')}/holdfast/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and go on from there."""
+    path = shared_folder(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()

@@ -39,9 +39,12 @@ def _line_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw account records with their key; see ``schema.account_schema``."""
-    orders = table(spark, sf_dir, "orders")
+def accounts(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Raw account records with their key; see ``schema.account_schema``.
+
+    ``orders`` may be a stream of orders; lines and customers are then joined as static tables.
+    """
+    orders = table(spark, sf_dir, "orders") if orders is None else orders
     customer = table(spark, sf_dir, "customer")
     market = customer.groupBy(F.col("c_custkey").alias("_customer")).agg(
         F.min("c_mktsegment").alias("_market")
