@@ -2,13 +2,15 @@
 
 Equal values are counted first, which collapses a hot value to one row map-side. Approximate
 percentiles of the distinct values cut them into even buckets. Totals per bucket give every bucket
-its offset, and the exact work happens inside single buckets.
+its offset, and the exact work happens inside single buckets. The counts are read by several steps,
+so they are kept (memory, then disk) until ``spark.catalog.clearCache()``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,7 @@ def exact_quantiles(
         long_values(df, groups, values)
         .groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("_n"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     spread = counts.groupBy(*keys).agg(
         F.sum("_n").alias("_total"), _bounds("value", buckets).alias("_bounds")
@@ -110,6 +113,7 @@ def running_totals(
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """Add ``cum_<name>`` over all rows in value order; ``counts`` has one row per value."""
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     spread = counts.agg(_bounds(value, buckets).alias("_bounds"))
     placed = counts.withColumn("_bounds", spread.scalar()).withColumn(
         "_bucket", _bucket(F.col(value), F.col("_bounds"))

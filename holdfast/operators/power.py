@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,24 +26,39 @@ def yeo_johnson(x: Column, exponent: Column) -> Column:
 
 
 def log_likelihoods(df: DataFrame, exponents: Mapping[str, Sequence[float]]) -> DataFrame:
-    """(metric, exponent, n, log_likelihood) for every column and trial exponent in one pass.
+    """(metric, exponent, n, log_likelihood) for every column and trial exponent in one pass."""
+    return _likelihoods(_value_counts(df, list(exponents)), exponents)
 
-    The trials are a literal array per column; each task keeps one running variance per trial.
-    """
+
+def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Equal values are transformed once: months, counts and cents collapse to their domain."""
+    return long_values(df, [], columns).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("w"))
+
+
+def _likelihoods(counts: DataFrame, exponents: Mapping[str, Sequence[float]]) -> DataFrame:
+    """The trials are a literal array per column; each task keeps three sums per trial."""
     trials = None
     for name, values in exponents.items():
         literal = F.array(*[F.lit(float(v)) for v in values])
         hit = F.col("metric") == name
         trials = F.when(hit, literal) if trials is None else trials.when(hit, literal)
-    rows = long_values(df, [], list(exponents)).select("metric", "value", F.explode(trials).alias("exponent"))
-    x = F.col("value")
-    jacobian = F.sum(F.signum(x) * F.log1p(F.abs(x)))
+    x, w = F.col("value"), F.col("w")
+    rows = counts.select("metric", "value", "w", F.explode(trials).alias("exponent"))
+    # Moments about the transformed mean: far exponents squeeze all values into a narrow band.
+    middle = counts.groupBy("metric").agg((F.sum(w * x) / F.sum("w")).alias("middle"))
+    rows = rows.join(F.broadcast(middle), "metric")  # one row per column
+    exponent = F.col("exponent")
+    rows = rows.withColumn("y", yeo_johnson(x, exponent) - yeo_johnson(F.col("middle"), exponent))
     stats = rows.groupBy("metric", "exponent").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.var_pop(yeo_johnson(x, F.col("exponent"))).alias("_var"),
-        jacobian.alias("_jac"),
+        F.sum("w").alias("n"),
+        F.sum(w * F.col("y")).alias("_y"),
+        F.sum(w * F.col("y") * F.col("y")).alias("_yy"),
+        F.sum(w * F.signum(x) * F.log1p(F.abs(x))).alias("_jac"),
     )
-    likelihood = -F.col("n") / 2.0 * F.ln("_var") + (F.col("exponent") - 1.0) * F.col("_jac")
+    mean = F.col("_y") / F.col("n")
+    spread = F.col("_yy") / F.col("n") - mean * mean
+    usable = F.when(spread > 0, spread)  # a constant column has no likelihood
+    likelihood = -F.col("n") / 2.0 * F.ln(usable) + (F.col("exponent") - 1.0) * F.col("_jac")
     return stats.select("metric", "exponent", "n", likelihood.alias("log_likelihood"))
 
 
@@ -74,8 +90,9 @@ def fit_power(df: DataFrame, columns: Sequence[str]) -> FittedPower:
     """Three narrowing grids and a parabola through the last; each grid is one aggregate."""
     grid = {c: list(COARSE) for c in columns}
     best: dict[str, float] = {}
+    counts = _value_counts(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
     for step in (0.5, 0.05, 0.005):
-        rows = log_likelihoods(df, grid).collect()  # columns x trials
+        rows = _likelihoods(counts, grid).collect()  # columns x trials
         for c in columns:
             curve = sorted(
                 (r.exponent, r.log_likelihood)
@@ -93,6 +110,7 @@ def fit_power(df: DataFrame, columns: Sequence[str]) -> FittedPower:
                 bend = y0 - 2 * y1 + y2
                 best[c] = x1 + (0.5 * step * (y0 - y2) / bend if bend else 0.0)
             grid[c] = [best[c] + (i - 10) * step / 10 for i in range(21)]
+    counts.unpersist()
     aggregates = []
     for c in columns:
         y = F.expr(_sql(c, best[c]))
