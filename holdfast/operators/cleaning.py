@@ -18,6 +18,16 @@ def to_number(column: str | Column) -> Column:
     return F.trim(column.cast("string")).try_cast("double")
 
 
+_NUMBERS = ("int", "bigint", "double", "float", "smallint", "tinyint", "decimal")
+
+
+def number_of(df: DataFrame, name: str) -> Column:
+    """The column as a number: a plain cast for numeric types, a tolerant parse for text."""
+    if dict(df.dtypes)[name].split("(")[0] in _NUMBERS:
+        return F.col(name).cast("double")
+    return to_number(name)
+
+
 def to_day(column: str | Column) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.trim(column.cast("string")).try_cast("date")
@@ -26,7 +36,7 @@ def to_day(column: str | Column) -> Column:
 def coerce(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     """TotalCharges to number, signup_date to date, and whole days since signup up to ``as_of``."""
     if "TotalCharges" in df.columns:
-        df = df.withColumn("TotalCharges", to_number("TotalCharges"))
+        df = df.withColumn("TotalCharges", number_of(df, "TotalCharges"))
     if "signup_date" in df.columns:
         as_of = F.current_date() if as_of is None else as_of
         df = df.withColumn("signup_date", to_day("signup_date"))
@@ -129,14 +139,15 @@ def fill_defaults(df: DataFrame, fill_nulls: bool = True) -> DataFrame:
 
 def fill_charges(df: DataFrame) -> DataFrame:
     """tenure and MonthlyCharges to 0 where unusable, TotalCharges to their product."""
+    total = number_of(df, "TotalCharges")
     df = df.withColumns(
         {
             "tenure": F.coalesce(F.col("tenure").try_cast("int"), F.lit(0)),
-            "MonthlyCharges": F.coalesce(to_number("MonthlyCharges"), F.lit(0.0)),
+            "MonthlyCharges": F.coalesce(number_of(df, "MonthlyCharges"), F.lit(0.0)),
         }
     )
     product = F.col("MonthlyCharges") * F.col("tenure")
-    return df.withColumn("TotalCharges", F.coalesce(to_number("TotalCharges"), product))
+    return df.withColumn("TotalCharges", F.coalesce(total, product))
 
 
 def filter_rows(
