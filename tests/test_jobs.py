@@ -42,7 +42,8 @@ def test_empty_batch_summary(spark, sf_dir):
 
 
 def test_what_if_modes(spark, sf_dir):
-    raw = accounts(spark, sf_dir).where("TechSupport = 'No'").limit(20).persist()
+    raw = accounts(spark, sf_dir).where("TechSupport = 'No'").orderBy("account_id").limit(20).persist()
+    charges = {r.account_id: r.MonthlyCharges for r in raw.collect()}
     cases = {"same": {}, "cheap": {"MonthlyCharges": 20.0}, "support": {"TechSupport": "Yes", "no_such": 1}}
     rebuilt = {(r.account_id, r.scenario): r for r in scoring.what_if(raw, cases, DEFAULT_CARD.score).collect()}
     frozen = {
@@ -62,7 +63,11 @@ def test_what_if_modes(spark, sf_dir):
             assert f.delta.probability_change == 0
         if case == "cheap":
             assert r.simulated.probability == pytest.approx(f.simulated.probability)
-            assert f.delta.clv_change >= 0
+            # At the original charge the value moves with the score alone: up exactly when the
+            # simulated charge is the lower one (an account at the horizon has no value to move).
+            lower = f.delta.probability_change < 0
+            assert lower == (charges[account] > 20.0)
+            assert f.delta.clv_change >= 0 if lower else f.delta.clv_change <= 0
     with pytest.raises(ValueError, match="mode"):
         scoring.what_if(raw, cases, DEFAULT_CARD.score, mode="other")
 
