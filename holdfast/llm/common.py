@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from holdfast.session import shared_folder
 
@@ -64,3 +66,58 @@ def small_batches(
             stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def running_total(df: DataFrame, order: list[str], value: str, name: str, rows_per_part: int = 20_000) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before each one, in the order of the given columns.
+
+    The first column cuts the rows into parts at quantiles of it; sums of parts give each part its start,
+    and windows run inside parts, so no task sees all rows. ``df`` must come from a written table.
+    """
+    by = order[0]
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.count(by).alias("keyed")).first()
+    parts = found.n // rows_per_part + 1
+    part = F.lit(0)
+    if parts > 1 and found.keyed:
+        shares = [k / parts for k in range(1, parts)]
+        cuts = df.agg(F.percentile_approx(by, shares, max(10_000, 20 * parts)).alias("cuts")).first().cuts
+        cuts = sorted(set(cuts))
+        part = F.when(F.col(by).isNull(), -1).otherwise(_place(cuts, by))
+    df = df.withColumn("_part", part.cast("int"))
+    sums = df.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return df.join(starts, "_part").withColumn(name, total.cast("long")).drop("_part", "_start")
+
+
+def _place(cuts: list, by: str) -> F.Column:
+    """Number of cuts not above a value, by halving: a tree of comparisons of logarithmic depth."""
+    if not cuts:
+        return F.lit(0)
+
+    def node(low: int, high: int) -> F.Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(by) >= cuts[middle], node(middle + 1, high)).otherwise(node(low, middle))
+
+    return node(0, len(cuts))
+
+
+def numbered(df: DataFrame, key: str, order: list[str], name: str, rows_per_part: int = 20_000) -> DataFrame:
+    """``df`` with a gapless number from 0 for each row within its ``key``.
+
+    Rows are dealt to parts by a hash of the order columns, so that a key holding most rows is numbered by
+    many tasks: counts per key and part give each part its first number. ``df`` must come from a written
+    table, and ``key`` may not be null.
+    """
+    parts = df.count() // rows_per_part + 1
+    df = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    counts = df.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy(key, "_part").orderBy(*order)
+    number = F.col("_first") + F.row_number().over(inside) - 1
+    return df.join(firsts, [key, "_part"]).withColumn(name, number.cast("long")).drop("_part", "_first")

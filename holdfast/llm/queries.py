@@ -7,8 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import quality
-from holdfast.llm.common import documents
+from holdfast.llm import mixing, packing, quality, token_files, viterbi
+from holdfast.llm.common import documents, tokenizer_path
 from holdfast.llm.oracles import ORACLES  # noqa: F401
 from holdfast.session import ship_package
 
@@ -27,6 +27,32 @@ def query(fn: Query) -> Query:
     return run
 
 
+@query
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written, read back and digested."""
+    files = token_files.write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return token_files.digests(token_files.read(spark, files))
+
+
+@query
+def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block and slot of every document in the mix of its sources."""
+    return mixing.schedule(documents(spark, sf_dir))
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token count and best score of every whole text."""
+    return viterbi.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    docs = documents(spark, sf_dir)
+    return packing.packed(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=False)
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and adaptive verdict of every document."""
