@@ -163,14 +163,13 @@ def fences(sketch: DataFrame, min_docs: int = MIN_DOCS, reach: int = REACH) -> D
         )
 
     joined = at(0, "own").join(at(1, "lang"), F.col("own_lang").eqNullSafe(F.col("lang_lang")), "left")
-    corpus = at(2, "all").withColumn("one", F.lit(1))
-    joined = joined.withColumn("one", F.lit(1)).join(corpus, "one", "left")
+    corpus = table.where("level = 2").first()  # one row
 
     def pick(name: str) -> Column:
         return (
             F.when(F.col("own_docs") >= min_docs, F.col(f"own_{name}"))
             .when(F.col("lang_docs") >= min_docs, F.col(f"lang_{name}"))
-            .otherwise(F.col(f"all_{name}"))
+            .otherwise(F.lit(corpus and corpus[name]))
             .alias(name)
         )
 

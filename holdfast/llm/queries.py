@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import mixing, packing, quality, token_files, viterbi
+from holdfast.llm import mixing, packing, prefix_tree, quality, token_files, viterbi
 from holdfast.llm.common import documents, tokenizer_path
 from holdfast.llm.oracles import ORACLES  # noqa: F401
 from holdfast.session import ship_package
@@ -46,6 +46,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+@query
+def op8_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document under 5-word shingles and Jaccard 0.75."""
+    return prefix_tree.groups(documents(spark, sf_dir))
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
