@@ -4,6 +4,35 @@ from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op3_bit_sliced_search"] = """
+WITH good AS (SELECT vec_id, max(embedding) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+v AS (SELECT vec_id, list_transform(e, lambda x: floor(256 * x::DOUBLE)) AS q FROM good),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLES["op8_prefix_tree_join"] = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+  UNION SELECT doc_id, 'whole ' || len(w) || ' ' || array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM grams a JOIN grams b
+    ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM common JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v
+  WHERE 100 * k >= 75 * (a.n + b.n - k)),
+reach AS (SELECT DISTINCT u, u AS r FROM links UNION SELECT links.v, reach.r FROM reach JOIN links ON links.u = reach.u),
+least AS (SELECT u, min(r) AS component_id FROM reach GROUP BY u)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.u = d.doc_id
+"""
+
 _BITS = "greatest(length(bin(v)) - 7, 0)"
 
 ORACLES["op10_quality_rules"] = f"""

@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import mixing, packing, prefix_tree, quality, token_files, viterbi
+from holdfast.llm import bitsliced, mixing, packing, prefix_tree, quality, token_files, viterbi
 from holdfast.llm.common import documents, tokenizer_path
 from holdfast.llm.oracles import ORACLES  # noqa: F401
 from holdfast.session import ship_package
@@ -34,6 +34,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read(spark, files))
 
 
+@query
+def op3_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best rows for every fiftieth vector."""
+    return bitsliced.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block and slot of every document in the mix of its sources."""
