@@ -113,7 +113,7 @@ def numbered(df: DataFrame, key: str, order: list[str], name: str, rows_per_part
     many tasks: counts per key and part give each part its first number. ``df`` must come from a written
     table, and ``key`` may not be null.
     """
-    parts = df.count() // rows_per_part + 1
+    parts = max(df.count() // rows_per_part, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
     counts = df.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

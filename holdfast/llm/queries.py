@@ -6,9 +6,10 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from holdfast.llm import bitsliced, mixing, packing, prefix_tree, quality, token_files, viterbi
-from holdfast.llm.common import documents, tokenizer_path
+from holdfast.llm import bitsliced, language, mixing, packing, prefix_tree, quality, token_files, toxicity, viterbi
+from holdfast.llm.common import documents, held_out, tokenizer_path
 from holdfast.llm.oracles import ORACLES  # noqa: F401
 from holdfast.session import ship_package
 
@@ -34,6 +35,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read(spark, files))
 
 
+@query
+def op2_toxicity_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score and offsets of every document; learned outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    fold = held_out(F.col("doc_id"), 5, 0)
+    field = toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=~fold)
+    return toxicity.scored(docs, field).select("doc_id", fold.alias("held_out"), "score", "predicted", "spans")
+
+
 @query
 def op3_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best rows for every fiftieth vector."""
@@ -52,6 +62,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+@query
+def op7_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    fold = held_out(F.col("doc_id"), 4, 2)
+    model = language.learned(docs, learn=~fold)
+    return language.predicted(docs, model).select("doc_id", fold.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document under 5-word shingles and Jaccard 0.75."""
