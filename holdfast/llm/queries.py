@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bitsliced, language, mixing, packing, prefix_tree, quality, token_files, toxicity, viterbi
+from holdfast.llm import bitsliced, language, mixing, packing, personal_data, prefix_tree, quality, token_files, toxicity, viterbi
 from holdfast.llm.common import documents, held_out, tokenizer_path
 from holdfast.llm.oracles import ORACLES  # noqa: F401
 from holdfast.session import ship_package
@@ -62,6 +62,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: fixed patterns and what the span classifier adds."""
+    return personal_data.digests(*personal_data.found_in(documents(spark, sf_dir)))
+
+
 @query
 def op7_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned outside the held-out fold."""
