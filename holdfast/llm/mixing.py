@@ -21,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from holdfast.llm.common import numbered, settle
 
 PARTS = 1000
+_PLACE = [StructField("block", LongType()), StructField("slot", LongType())]
 
 
 def shares(weights: Mapping[str, float], parts: int = PARTS) -> dict[str, int]:
@@ -95,51 +97,53 @@ def key_of(source: str | None) -> str:
 def mixed(
     docs: DataFrame,
     weights: Mapping[str | None, float] | None = None,
-    order: tuple[str, ...] = ("doc_id",),
+    id_col: str = "doc_id",
     source_col: str = "source",
     block_docs: int = 64,
     parts: int = PARTS,
 ) -> DataFrame:
-    """``docs`` (a written table) with ``_block``, its number within the source, and ``_slot``, its place in the mix.
+    """Each row of ``docs`` (a written table) as ``row``, with its ``block`` within the source and its ``slot``.
 
-    Without ``weights`` each source weighs the square root of its documents. ``order`` numbers the
-    documents of a source within hashed parts, so a source that holds most rows is numbered by many tasks.
+    Without ``weights`` each source weighs the square root of its documents. Documents of a source are
+    numbered within hashed parts, so a source that holds most rows is numbered by many tasks.
     """
     source = F.col(source_col)
-    keyed = docs.withColumn("_key", F.when(source.isNull(), "-").otherwise(F.concat(F.lit("="), source)))
-    counts = {r._key: r.n for r in keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).limit(parts + 1).collect()}
+    keyed = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
+        F.col(id_col).alias("doc_id"),
+        F.when(source.isNull(), "-").otherwise(F.concat(F.lit("="), source)).alias("key"),
+    )
+    counts = {r.key: r.n for r in keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).limit(parts + 1).collect()}
     if len(counts) > parts:
         raise ValueError(f"more than {parts} sources; raise parts")
     target = {k: n**0.5 for k, n in counts.items()} if weights is None else {key_of(s): w for s, w in weights.items()}
     blocks = {k: -(-n // block_docs) for k, n in counts.items()}
     shared = docs.sparkSession.sparkContext.broadcast(phases(blocks, target, parts))
-    placed = numbered(keyed, "_key", list(order), "_number")
-    names = [c for c in placed.columns if c not in ("_key", "_number")]
+    placed = numbered(keyed, "key", ["doc_id"], "number").select("row", "key", "number")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         for batch in batches:
-            block = batch.column(len(names) + 1).to_numpy(False) // block_docs
-            keys = batch.column(len(names)).dictionary_encode()
+            block = batch.column(2).to_numpy(False) // block_docs
+            keys = batch.column(1).dictionary_encode()
             code = keys.indices.to_numpy(False)
             slot = np.empty(len(block), np.int64)
             for k, key in enumerate(keys.dictionary.to_pylist()):
                 slot[code == k] = slot_of(plan, key, block[code == k], parts)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(names)], pa.array(block), pa.array(slot)], [*names, "_block", "_slot"]
+                [batch.column(0), pa.array(block), pa.array(slot)], ["row", "block", "slot"]
             )
 
-    schema = ", ".join(f"`{c}` {placed.schema[c].dataType.simpleString()}" for c in names)
-    return placed.select(*names, "_key", "_number").mapInArrow(place, f"{schema}, _block long, _slot long")
+    return placed.mapInArrow(place, StructType([placed.schema["row"], *_PLACE]))
 
 
-def interleaved(docs: DataFrame, order: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+def interleaved(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` (a written table) with their own columns, in the order of the mix."""
-    placed = mixed(docs, order=order, **options)
-    return placed.repartitionByRange("_slot").sortWithinPartitions("_slot", *order).select(*docs.columns)
+    placed = mixed(docs, **options)
+    return placed.repartitionByRange("slot").sortWithinPartitions("slot").select("row.*")
 
 
 def schedule(docs: DataFrame, id_col="doc_id", source_col="source", **options) -> DataFrame:
     """doc_id, source, block and slot of every document; only ids and sources are read and shuffled."""
     rows = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source")), "mix-rows")
-    return mixed(rows, **options).select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"))
+    return mixed(rows, **options).select("row.doc_id", "row.source", "block", "slot")

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from holdfast.llm.common import numbered, settle, small_batches
 from holdfast.llm.components import components
@@ -520,3 +521,16 @@ def groups(
         sizes.join(roots, sizes["doc_id"] == roots["node"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
     )
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of near-duplicates keeps one: its least id.
+
+    Of several rows with that id the least by all columns stays; rows without an id stay.
+    """
+    kept = groups(docs, id_col=id_col, **options).where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"))
+    first = Window.partitionBy("doc_id").orderBy("row")
+    found = rows.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    found = found.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
+    return found.unionByName(docs.where(F.col(id_col).isNull()))

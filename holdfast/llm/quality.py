@@ -200,5 +200,6 @@ def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, reach: int = REACH, **co
 
 def filtered(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id has a kept verdict, with all their columns; rows without an id go."""
-    kept = verdicts(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+    kept = verdicts(docs, id_col=id_col, **options).where("kept").select("doc_id")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"))
+    return rows.join(kept, "doc_id", "left_semi").select("row.*")
