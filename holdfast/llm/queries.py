@@ -32,7 +32,7 @@ def query(fn: Query) -> Query:
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written, read back and digested."""
     files = token_files.write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2)
-    return token_files.digests(token_files.read(spark, files))
+    return token_files.digests(spark, files)
 
 
 @query

@@ -12,7 +12,7 @@ id stand in the order of their size and bytes; an empty table gives empty files;
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import running_total, settle, small_batches
-from holdfast.llm.tokens import encoder
+from holdfast.llm.common import range_part, running_total, settle, small_batches
+from holdfast.llm.tokens import BATCH, encoder
 from holdfast.session import shared_folder
 
 #: bytes of each of the four ids that a control byte describes
@@ -62,8 +62,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         end = np.array([end_id], words.dtype).tobytes()
-        for batch in small_batches(batches):
-            ids = [words.encode(t).tobytes() + end for t in batch.column(1).to_pylist()]
+        for batch in small_batches(batches, most_bytes=BATCH):
+            flat, counts = words.encode_all(batch.column(1).to_pylist())
+            ids = [x.tobytes() + end for x in np.split(flat, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     schema = rows.schema["doc_id"].dataType.simpleString()
@@ -89,10 +90,14 @@ def frequencies(tokens: DataFrame, dtype: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """Where the files are: ``rows`` (doc_id, n_tokens, control, data) and ``ranks`` (id, rank)."""
+    """Where the files are: ``rows`` (doc_id, n_tokens, control, data) and ``ranks`` (id, rank).
+
+    ``rows`` has one folder per range of ``doc_id``, numbered in ascending order, with one sorted file each.
+    """
 
     rows: str
     ranks: str
+    schema: str
 
 
 def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
@@ -110,7 +115,9 @@ def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
     by_rank = counts["id"].to_numpy(np.int64)
     rank_of = np.zeros(int(by_rank.max(initial=-1)) + 1, "<u4")
     rank_of[by_rank] = np.arange(len(by_rank))
-    out = TokenFiles(shared_folder(spark, "token-files"), shared_folder(spark, "token-ranks"))
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, control binary, data binary"
+    out = TokenFiles(shared_folder(spark, "token-files"), shared_folder(spark, "token-ranks"), schema)
     ranks = spark.createDataFrame(
         counts.assign(rank=range(len(counts)))[["id", "rank"]], "id long, rank long"
     )
@@ -136,43 +143,41 @@ def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
                 ["doc_id", "n_tokens", "control", "data"],
             )
 
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    coded = tokens.mapInArrow(encode, f"doc_id {kind}, n_tokens long, control binary, data binary")
-    order = ["doc_id", "n_tokens", "control", "data"]
-    coded.repartitionByRange("doc_id").sortWithinPartitions(*order).write.parquet(out.rows)
+    coded = tokens.mapInArrow(encode, schema)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    coded = coded.withColumn("part", range_part(tokens, "doc_id", parts))
+    order = ["part", "doc_id", "n_tokens", "control", "data"]
+    coded.repartition(parts, "part").sortWithinPartitions(*order).write.partitionBy("part").parquet(out.rows)
     return out
 
 
-def read(spark: SparkSession, files: TokenFiles) -> DataFrame:
-    """doc_id, n_tokens and the ids (little-endian unsigned 32-bit) of each document, from the files."""
+def _decoded(spark: SparkSession, files: TokenFiles, name: str, kind: str, finish: Callable) -> DataFrame:
+    """doc_id, n_tokens and a column made of each document's ids (little-endian unsigned 32-bit)."""
     by_rank = spark.read.parquet(files.ranks).toPandas().sort_values("rank")["id"].to_numpy("<u4")
     shared = spark.sparkContext.broadcast(by_rank)
-    rows = spark.read.parquet(files.rows)
+    rows = spark.read.schema(files.schema).parquet(files.rows).select("doc_id", "n_tokens", "control", "data")
+    types = {"binary": pa.binary(), "long": pa.int64()}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value
         for batch in batches:
             cells = zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)
-            found = [ids[unpack(c.as_buffer(), d.as_buffer(), n)].tobytes() for n, c, d in cells]
+            found = [finish(ids[unpack(c.as_buffer(), d.as_buffer(), n)].tobytes()) for n, c, d in cells]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "n_tokens", "ids"]
+                [batch.column(0), batch.column(1), pa.array(found, types[kind])], ["doc_id", "n_tokens", name]
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(decode, f"doc_id {kind}, n_tokens long, ids binary")
+    key = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(decode, f"doc_id {key}, n_tokens long, {name} {kind}")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of each document's ids; start counts the ids before it."""
+def read(spark: SparkSession, files: TokenFiles) -> DataFrame:
+    """doc_id, n_tokens and the ids (little-endian unsigned 32-bit) of each document, from the files."""
+    return _decoded(spark, files, "ids", "binary", lambda ids: ids)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = [zlib.crc32(x.as_buffer()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(crc, pa.int64())], ["doc_id", "n_tokens", "ids_crc32"]
-            )
 
-    kind = decoded.schema["doc_id"].dataType.simpleString()
-    rows = settle(decoded.mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_crc32 long"), "token-digests")
+def digests(spark: SparkSession, files: TokenFiles) -> DataFrame:
+    """doc_id, start, n_tokens and the crc32 of each document's ids; start counts the ids before it."""
+    rows = settle(_decoded(spark, files, "ids_crc32", "long", zlib.crc32), "token-digests")
     placed = running_total(rows, ["doc_id", "n_tokens", "ids_crc32"], "n_tokens", "start")
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -62,14 +62,14 @@ def test_token_files_query(spark, sf_dir, small_docs):
 def test_token_files_edges(spark, odd_docs, odd_rows, no_docs):
     encode = library(FILES[0])
     files = token_files.write(odd_docs, tokenizer_path(FILES[0]), end_id=2)
-    got = token_files.digests(token_files.read(spark, files)).collect()
+    got = token_files.digests(spark, files).collect()
     want = sorted(((r[0] is not None, r[0]), len(encode(r[1])) + 1, crc([*encode(r[1]), 2])) for r in odd_rows)
     assert sorted(((r.doc_id is not None, r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == want
     starts = sorted((r.start, r.n_tokens) for r in got)
     assert [s for s, _ in starts] == np.cumsum([0, *[n for _, n in starts[:-1]]]).tolist()
     assert starts[0][1] == next(n for (known, _), n, _ in want if not known)  # null ids come first
     files = token_files.write(no_docs, tokenizer_path(FILES[0]), end_id=2)
-    assert token_files.digests(token_files.read(spark, files)).count() == 0
+    assert token_files.digests(spark, files).count() == 0
 
 
 def test_frequent_ids_get_small_ranks(spark, odd_docs):
