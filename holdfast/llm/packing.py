@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import numbered, settle, small_batches
-from holdfast.llm.tokens import encoder
+from holdfast.llm.tokens import BATCH, encoder
 
 #: (lengths and how often each, in order of place) and the number of sequences filled so
 Pattern = tuple[tuple[tuple[int, int], ...], int]
@@ -40,10 +40,11 @@ def cut(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most_bytes=BATCH):
             at, number, start, length, crc, kept = [], [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.concatenate([words.encode(text).astype("<u4"), end])
+            flat, counts = words.encode_all(batch.column(1).to_pylist())
+            for row, own in enumerate(np.split(flat.astype("<u4"), np.cumsum(counts)[:-1])):
+                ids = np.concatenate([own, end])
                 for k in range(0, len(ids), capacity):
                     part = ids[k : k + capacity].tobytes()
                     at.append(row)
@@ -209,7 +210,7 @@ def placed(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     shared = spark.sparkContext.broadcast(_places(plan(counts, capacity)))
     ranked = numbered(pieces, "length", order, "_number")
-    names = [c for c in ranked.columns if c != "_number"]
+    names = pieces.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = shared.value
