@@ -16,11 +16,6 @@ def rounded(df, digits, *columns):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def rounded_up(df, digits, *columns):
-    """Round with a hair added, so that a mean lying on a tie rounds alike in both engines."""
-    return df.withColumns({c: F.round(F.col(c) + F.lit(1e-11), digits) for c in columns})
-
-
 @query(
     "overall_churn",
     """
@@ -221,10 +216,11 @@ def segment_balance(spark, sf_dir):
     """
 SELECT customer_segment, CAST(floor(churn_prob / 0.05::DOUBLE) AS INTEGER) AS prob_bin,
   CAST(floor("CLV" / 500.0::DOUBLE) AS INTEGER) AS clv_bin, count(*) AS n,
-  round(avg("MonthlyCharges") + 1e-11, 6) AS avg_monthly FROM scored GROUP BY 1, 2, 3""",
+  sum(CAST(round("MonthlyCharges" * 100) AS BIGINT))::DOUBLE / (count(*)::DOUBLE * 100.0::DOUBLE) AS avg_monthly
+FROM scored GROUP BY 1, 2, 3""",
 )
 def clv_vs_prob_grid(spark, sf_dir):
-    return rounded_up(segments.value_grid(scored_accounts(spark, sf_dir)), 6, "avg_monthly")
+    return segments.value_grid(scored_accounts(spark, sf_dir))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from holdfast import schema as S
-from holdfast.catalog.aggregates import rounded, rounded_up
+from holdfast.catalog.aggregates import rounded
 from holdfast.catalog.registry import TERM_SQL, number, query
 from holdfast.operators import attribution as A
 from holdfast.operators.scorecard import DEFAULT_CARD
@@ -120,7 +120,9 @@ def _colour_sql(column: str) -> str:
     _LINEAR
     + " UNION ALL ".join(
         f"SELECT '{view}' AS chart, CAST(floor(CAST(\"{x}\" AS DOUBLE) / {w}) AS INTEGER) AS x_bin, "
-        f"{_colour_sql(c)} AS colour, count(*) AS n, round(avg(p{NAMES.index(f)}) + 1e-11, 8) AS mean_attribution "
+        f"{_colour_sql(c)} AS colour, count(*) AS n, "
+        f"sum(CAST(round(p{NAMES.index(f)} * 1e8::DOUBLE) AS BIGINT))::DOUBLE / (count(*)::DOUBLE * 1e8::DOUBLE) "
+        "AS mean_attribution "
         "FROM explained GROUP BY 2, 3"
         for view, (f, x, c, w) in _VIEWS.items()
     ),
@@ -133,7 +135,7 @@ def dependence_bins(spark, sf_dir):
         points = A.dependence(explained, NAMES, feature, F.col(x).cast("double"), shade.cast("string"))
         rows = A.dependence_bins(points, width).withColumn("chart", F.lit(view))
         out = rows if out is None else out.unionByName(rows)
-    return rounded_up(out, 8, "mean_attribution")
+    return out
 
 
 @query(

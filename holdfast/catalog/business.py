@@ -7,7 +7,6 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from holdfast import schema as S
-from holdfast.catalog.aggregates import rounded
 from holdfast.catalog.registry import (
     MULTI_SQL,
     TERM_SQL,
@@ -189,7 +188,8 @@ def audit_recent(spark, sf_dir):
     _LOG
     + """, tiers AS (SELECT risk_tier, count(*) AS n FROM log GROUP BY 1)
 SELECT (SELECT count(*) FROM log) AS total_predictions,
-  (SELECT round(avg(probability), 4) FROM log) AS average_probability,
+  (SELECT CAST((2 * sum(CAST(round(probability * 10000) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE)
+    / 10000.0::DOUBLE FROM log) AS average_probability,
   (SELECT string_agg(risk_tier || '=' || n, ';' ORDER BY risk_tier) FROM tiers) AS tier_breakdown""",
 )
 def audit_stats(spark, sf_dir):
@@ -200,11 +200,12 @@ def audit_stats(spark, sf_dir):
     "history_kpis",
     _LOG
     + """
-SELECT count(*) AS total, round(avg(probability), 6) AS avg_prob,
+SELECT count(*) AS total,
+  sum(CAST(round(probability * 10000) AS BIGINT))::DOUBLE / (count(*)::DOUBLE * 10000.0::DOUBLE) AS avg_prob,
   count(CASE WHEN risk_tier IN ('High', 'Critical') THEN 1 END) AS high_or_critical FROM log""",
 )
 def history_kpis(spark, sf_dir):
-    return rounded(audit.history_kpis(_log(spark, sf_dir)), 6, "avg_prob")
+    return audit.history_kpis(_log(spark, sf_dir))
 
 
 @query(
@@ -212,8 +213,10 @@ def history_kpis(spark, sf_dir):
     _LOG
     + """
 SELECT strftime(date_trunc('month', ts), '%Y-%m-%d %H:%M:%S') AS period, count(*) AS n,
-  round(avg(probability), 6) AS avg_prob FROM log GROUP BY 1""",
+  CAST(sum(CAST(round(probability * 10000) AS BIGINT)) AS BIGINT) AS prob_units,
+  sum(CAST(round(probability * 10000) AS BIGINT))::DOUBLE / (count(*)::DOUBLE * 10000.0::DOUBLE) AS avg_prob
+FROM log GROUP BY 1""",
 )
 def probability_trend(spark, sf_dir):
     trend = audit.probability_trend(_log(spark, sf_dir), "month")
-    return rounded(trend.withColumn("period", _clock("period")), 6, "avg_prob")
+    return trend.withColumn("period", _clock("period"))

@@ -74,7 +74,7 @@ def _window_sql(ts: str, seconds: int) -> str:
     _LOG
     + f"""
 SELECT strftime({_window_sql('ts', 30 * 86400)}, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n,
-  round(avg(probability), 6) AS avg_prob, """
+  sum(CAST(round(probability * 10000) AS BIGINT))::DOUBLE / (count(*)::DOUBLE * 10000.0::DOUBLE) AS avg_prob, """
     + ", ".join(f"count(CASE WHEN risk_tier = '{t}' THEN 1 END) AS n_{t.lower()}" for t in S.RISK_TIERS)
     + " FROM log GROUP BY 1",
 )
@@ -82,7 +82,7 @@ def stream_kpi_windows(spark, sf_dir):
     scored = score_records(_account_stream(spark, sf_dir), RAW_CARD.score)
     sums = jobs.kpi_windows(scored, _at(), jobs.time_window("at_time", "30 days"), late="365 days")
     rows = _updates(spark, sums, ["start"])
-    return rounded(rows.withColumn("start", _clock("start")).drop("end"), 6, "avg_prob")
+    return rows.withColumn("start", _clock("start")).drop("end")
 
 
 @query(

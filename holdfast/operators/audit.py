@@ -49,15 +49,30 @@ def parse_inputs(log: DataFrame, schema) -> DataFrame:
     return log.withColumn("input", F.from_json("input_json", schema))
 
 
+#: Logged probabilities have four digits, so they add up exactly as whole numbers of this unit.
+UNITS = 10_000
+
+
+def probability_units() -> Column:
+    """Sum of the logged probabilities in ten-thousandths; no order of rows changes it."""
+    return F.sum(F.round(F.col("probability") * UNITS).cast("bigint"))
+
+
+def mean_probability(units: Column, n: Column) -> Column:
+    """One division of whole numbers."""
+    return F.try_divide(units.cast("double"), n.cast("double") * float(UNITS))
+
+
 def audit_stats(log: DataFrame) -> DataFrame:
     """Predictions and mean probability, overall and per tier, from one aggregate per tier."""
-    tiers = log.groupBy("risk_tier").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("probability").alias("_p")
-    )
+    tiers = log.groupBy("risk_tier").agg(F.count(F.lit(1)).alias("n"), probability_units().alias("_p"))
     # One row per tier.
     return tiers.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_predictions"),
-        F.round(F.coalesce(F.sum("_p") / F.sum("n"), F.lit(0.0)), 4).alias("average_probability"),
+        # rounded half up to the unit, in whole numbers
+        F.coalesce(F.expr("(2 * sum(_p) + sum(n)) div (2 * sum(n))") / float(UNITS), F.lit(0.0)).alias(
+            "average_probability"
+        ),
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("risk_tier", "n"))),
@@ -71,15 +86,17 @@ def audit_stats(log: DataFrame) -> DataFrame:
 def history_kpis(log: DataFrame, risk_tier: str | None = None) -> DataFrame:
     if risk_tier:
         log = log.where(F.col("risk_tier") == risk_tier)
+    n = F.count(F.lit(1))
     return log.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.avg("probability").alias("avg_prob"),
+        n.alias("total"),
+        mean_probability(probability_units(), n).alias("avg_prob"),
         F.count(F.when(F.col("risk_tier").isin("High", "Critical"), 1)).alias("high_or_critical"),
     )
 
 
 def probability_trend(log: DataFrame, unit: str = "month") -> DataFrame:
     """Mean probability per calendar unit of the log time."""
+    n, units = F.count(F.lit(1)), probability_units()
     return log.groupBy(F.date_trunc(unit, "timestamp").alias("period")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("probability").alias("avg_prob")
+        n.alias("n"), units.alias("prob_units"), mean_probability(units, n).alias("avg_prob")
     )

@@ -13,9 +13,13 @@ from holdfast.functions import business as B
 
 
 def to_number(column: str | Column) -> Column:
-    """Text that is no number becomes null instead of an error."""
+    """Text that is no number becomes null instead of an error; so does NaN."""
     column = F.col(column) if isinstance(column, str) else column
-    return F.trim(column.cast("string")).try_cast("double")
+    return _known(F.trim(column.cast("string")).try_cast("double"))
+
+
+def _known(number: Column) -> Column:
+    return F.when(~F.isnan(number), number)
 
 
 _NUMBERS = ("int", "bigint", "double", "float", "smallint", "tinyint", "decimal")
@@ -24,7 +28,7 @@ _NUMBERS = ("int", "bigint", "double", "float", "smallint", "tinyint", "decimal"
 def number_of(df: DataFrame, name: str) -> Column:
     """The column as a number: a plain cast for numeric types, a tolerant parse for text."""
     if dict(df.dtypes)[name].split("(")[0] in _NUMBERS:
-        return F.col(name).cast("double")
+        return _known(F.col(name).cast("double"))
     return to_number(name)
 
 
@@ -44,9 +48,16 @@ def coerce(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     return df
 
 
+def _missing(df: DataFrame) -> Column:
+    """Cells of a row that ``na.drop`` takes for missing: nulls, and NaN in floating columns."""
+    floating = {c for c, kind in df.dtypes if kind in ("double", "float")}
+    cells = [(F.col(c).isNull() | F.isnan(c)) if c in floating else F.col(c).isNull() for c in df.columns]
+    return reduce(lambda a, b: a + b, [cell.cast("int") for cell in cells])
+
+
 def missing_cells(df: DataFrame) -> DataFrame:
-    """Nulls over all cells, in one pass."""
-    per_row = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in df.columns])
+    """Missing cells over all rows, in one pass."""
+    per_row = _missing(df)
     return df.agg(F.coalesce(F.sum(per_row), F.lit(0)).cast("bigint").alias("missing_cells"))
 
 
@@ -68,7 +79,7 @@ def cleaning_report(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     off the same aggregate.
     """
     typed = coerce(df, as_of)
-    nulls = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in typed.columns])
+    nulls = _missing(typed)
     copies = typed.groupBy(*typed.columns).agg(F.count(F.lit(1)).alias("_copies"))
     whole = F.col("_nulls") == 0
     return copies.withColumn("_nulls", nulls).agg(
@@ -122,13 +133,16 @@ def encode_labels(df: DataFrame, column: str = "Churn") -> DataFrame:
 
 
 def senior_flag(column: str = "SeniorCitizen") -> Column:
-    """Yes or 1 to 1, everything else to 0, whatever the column's type."""
+    """Yes or any spelling of the number 1 to 1, everything else to 0, whatever the column's type."""
     text = F.trim(F.col(column).cast("string"))
-    return F.when(text.isin("Yes", "1"), 1).otherwise(0)
+    return F.when((text == "Yes") | (text.try_cast("double") == 1), 1).otherwise(0)
 
 
-def fill_defaults(df: DataFrame, fill_nulls: bool = True) -> DataFrame:
-    """Add absent behavioural columns with their default; by default fill null cells as well."""
+def fill_defaults(df: DataFrame, fill_nulls: bool = False) -> DataFrame:
+    """Add absent behavioural columns with their default; null cells stay unless asked for.
+
+    ``fill_nulls`` is for JSON requests, where a null is a field left out.
+    """
     for name, value in S.BEHAVIOUR_DEFAULTS.items():
         if name not in df.columns:
             df = df.withColumn(name, F.lit(value))
@@ -142,7 +156,7 @@ def fill_charges(df: DataFrame) -> DataFrame:
     total = number_of(df, "TotalCharges")
     df = df.withColumns(
         {
-            "tenure": F.coalesce(F.col("tenure").try_cast("int"), F.lit(0)),
+            "tenure": F.coalesce(F.floor(number_of(df, "tenure")).try_cast("int"), F.lit(0)),
             "MonthlyCharges": F.coalesce(number_of(df, "MonthlyCharges"), F.lit(0.0)),
         }
     )
@@ -158,7 +172,10 @@ def filter_rows(
     above: Mapping[str, object] | None = None,
     below: Mapping[str, object] | None = None,
 ) -> DataFrame:
-    """Only the given predicates are added, each as its own filter, so all reach the scan."""
+    """Only the given predicates are added, each as its own filter.
+
+    Filters on columns of a stored table reach its scan; filters on computed columns cannot.
+    """
     for name, value in (equals or {}).items():
         if value is not None:
             df = df.where(F.col(name) == value)

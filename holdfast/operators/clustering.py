@@ -52,18 +52,15 @@ def silhouette(df: DataFrame, features: str = "features", cluster: str = "cluste
 
 
 def euclidean_silhouette(
-    df: DataFrame, key: str, features: str, cluster: str = "cluster", max_rows: int = 100_000, block: int = 4_096
+    df: DataFrame, key: str, features: str, cluster: str = "cluster", block: int = 4_096
 ) -> DataFrame:
     """(key, silhouette) under Euclidean distance, exact.
 
     Every row is compared with every other, so the work is quadratic: a diagnostic for moderate
-    tables, refused above ``max_rows``. Use ``silhouette`` for large ones. Rows are cut into blocks
+    tables, with ``silhouette`` for large ones. Rows are cut into blocks
     by key hash; a task compares two blocks and emits one sum per row and cluster.
     """
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows are too many for the pairwise silhouette; use silhouette()")
-    blocks = max(1, -(-n // block))
+    blocks = max(1, -(-df.count() // block))
     rows = df.select(
         F.col(key).alias("key"),
         F.col(features).alias("x"),

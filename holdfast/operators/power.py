@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from math import isfinite
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import SQLTransformer
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from holdfast.operators.ordered import long_values
 
 COARSE = [-3.0 + 0.5 * i for i in range(15)]
+WIDEST = 4096.0
 
 
 def yeo_johnson(x: Column, exponent: Column) -> Column:
@@ -86,11 +88,51 @@ class FittedPower:
         return SQLTransformer(statement=f"select *, {picked} from __THIS__")
 
 
+def _widen(counts: DataFrame, grid: dict[str, list[float]]) -> None:
+    """Shift each column's first grid until its best trial is inside; only columns still open are tried again."""
+    reach = {c: 4.0 for c in grid}
+    open_ = set(grid)
+    while open_:
+        rows = _likelihoods(counts.where(F.col("metric").isin(*open_)), {c: grid[c] for c in open_}).collect()
+        for c in sorted(open_):
+            curve = sorted(
+                (r.exponent, r.log_likelihood)
+                for r in rows
+                if r.metric == c and r.log_likelihood is not None and isfinite(r.log_likelihood)
+            )
+            best = max(curve, key=lambda p: p[1])[0] if curve else None
+            if best is None or curve[0][0] < best < curve[-1][0] or reach[c] >= WIDEST:
+                open_.discard(c)
+                if best is not None:
+                    grid[c] = [best + 0.5 * i for i in range(-3, 4)]
+                continue
+            reach[c] *= 2
+            side = 1 if best >= curve[-1][0] else -1
+            grid[c] = sorted(best + side * reach[c] * i / 16 for i in range(-2, 17))
+            if reach[c] > 8:  # a wide grid is narrowed to halves before the steps below
+                grid[c] = sorted({*grid[c], best - side * 0.5, best + side * 0.5})
+    # wide grids end within one of their steps of the best; close in to a step of one half
+    for c in grid:
+        width = reach[c] / 16
+        while width > 0.5:
+            middle = grid[c][len(grid[c]) // 2]
+            grid[c] = [middle + width * i / 8 for i in range(-16, 17)]
+            rows = _likelihoods(counts.where(F.col("metric") == c), {c: grid[c]}).collect()
+            best = max((r.log_likelihood, r.exponent) for r in rows if r.log_likelihood is not None)[1]
+            width /= 8
+            grid[c] = [best + max(width, 0.5) * i for i in range(-3, 4)]
+
+
 def fit_power(df: DataFrame, columns: Sequence[str]) -> FittedPower:
-    """Three narrowing grids and a parabola through the last; each grid is one aggregate."""
+    """Narrowing grids and a parabola through the last; each grid is one aggregate.
+
+    The first grid moves on past its end while the best exponent lies on it, so the range is open. It doubles
+    its reach each time, and a likelihood that still rises at ``WIDEST`` has no greatest value in doubles.
+    """
     grid = {c: list(COARSE) for c in columns}
     best: dict[str, float] = {}
     counts = _value_counts(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    _widen(counts, grid)
     for step in (0.5, 0.05, 0.005):
         rows = _likelihoods(counts, grid).collect()  # columns x trials
         for c in columns:

@@ -152,12 +152,17 @@ def batch_summary(df: DataFrame) -> DataFrame:
 
 
 def value_grid(df: DataFrame, prob_step: float = 0.05, value_step: float = 500.0) -> DataFrame:
-    """Binned points of the value-against-probability plane per segment, with mean charge."""
+    """Binned points of the value-against-probability plane per segment, with mean charge.
+
+    Charges are added up in whole cents, so the mean does not depend on the order of rows.
+    """
+    cents = F.sum(F.round(F.col("MonthlyCharges") * 100).cast("bigint"))
+    n = F.count(F.lit(1))
     return df.groupBy(
         "customer_segment",
         F.floor(F.col("churn_prob") / prob_step).cast("int").alias("prob_bin"),
         F.floor(F.col("CLV") / value_step).cast("int").alias("clv_bin"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.avg("MonthlyCharges").alias("avg_monthly"))
+    ).agg(n.alias("n"), (cents.cast("double") / (n.cast("double") * 100.0)).alias("avg_monthly"))
 
 
 def scatter(df: DataFrame, x: str, y: str, *keep: str) -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from holdfast import schema as S
 from holdfast.functions.hashing import uniform
 
-_BROADCAST_CELLS = 20_000
 _OPEN = 2.0  # above every priority: the cell is listed whole
 
 
@@ -44,7 +43,10 @@ def similar_accounts(
     listed: int = 16,
     salt: str = "similar",
 ) -> DataFrame:
-    """(key, similar): the array holds (priority, key, tenure, charge, churned), lowest first."""
+    """(key, similar): the array holds (priority, key, tenure, charge, churned), lowest first.
+
+    An account without tenure or charge is near no one: it keeps its row, with an empty array.
+    """
     slack = 1 + 1e-9  # keeps the far edge of the reach inside the next cell despite rounding
     points = df.select(
         key,
@@ -81,14 +83,14 @@ def similar_accounts(
         )
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    # A table of cells is small for validated ranges; a larger one is left to the optimizer.
-    small = around.count() <= _BROADCAST_CELLS
-    joined = points.join(F.broadcast(around) if small else around, cell)
+    # The optimizer broadcasts the cells under its byte limit. A row without a cell has no one near it.
+    joined = points.join(around, cell, "left")
     mine = F.col(key)
     found = F.filter(
-        "_near", lambda c: _in_reach(c, tenure_reach, charge_reach) & (c["key"] != mine)
+        F.coalesce("_near", F.array()), lambda c: _in_reach(c, tenure_reach, charge_reach) & (c["key"] != mine)
     )
     first = joined.withColumn("similar", F.slice(found, 1, k))
+    first = first.withColumn("_horizon", F.coalesce("_horizon", F.lit(_OPEN)))
     enough = (F.size("similar") == k) & (F.element_at("similar", -1)["priority"] <= F.col("_horizon"))
     first = first.withColumn("_done", enough | (F.col("_horizon") == _OPEN))
     first = first.select(*points.columns, "similar", "_done").persist(StorageLevel.MEMORY_AND_DISK)

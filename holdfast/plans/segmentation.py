@@ -19,7 +19,8 @@ from holdfast.operators import clustering, segments
 from holdfast.operators.power import fit_power
 
 FEATURES = "segment_features"
-ROWS_PER_PARTITION = 50_000
+#: Part of the model's definition; raise it for tables whose partitions would not fit a task's memory.
+PARTITIONS = 64
 TEMPORARY = (FEATURES, "_plane", *[f"pt__{c}" for c in S.SEGMENT_INPUTS])
 
 
@@ -29,17 +30,14 @@ def fit_transform(df: DataFrame, columns: Sequence[str] = S.SEGMENT_INPUTS) -> P
     return PipelineModel([power.stage(), VectorAssembler(inputCols=names, outputCol=FEATURES)])
 
 
-def _cached(rows: DataFrame) -> DataFrame:
-    """Rows kept for the many passes of the fits. A small table goes into few partitions, so that
-    its fits run side by side with little scheduling; a large one keeps its partitions."""
-    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    few = max(1, kept.count() // ROWS_PER_PARTITION)
-    if few >= kept.rdd.getNumPartitions():
-        return kept
-    packed = kept.coalesce(few).persist(StorageLevel.MEMORY_AND_DISK)
-    packed.count()
-    kept.unpersist()
-    return packed
+def _cached(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows kept for the many passes of the fits.
+
+    The start of k-means draws per partition, so rows are dealt by their values to a fixed number of
+    partitions: the fit is the same on any cluster and for any file layout.
+    """
+    dealt = rows.repartition(PARTITIONS, *keys).sortWithinPartitions(*keys)
+    return dealt.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _best_of(ready: DataFrame, k: int, n_init: int, seed: int, parallelism: int) -> KMeansModel:
@@ -81,7 +79,7 @@ def fit_segments(df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, pa
     """Fit on rows with the seven clustering inputs and the four naming columns."""
     rows = df.select(*dict.fromkeys([*S.SEGMENT_INPUTS, "Churn_Numeric"]))
     prepare = fit_transform(rows)
-    ready = _cached(prepare.transform(rows))
+    ready = _cached(prepare.transform(rows), S.SEGMENT_INPUTS)
     kmeans = _best_of(ready, k, n_init, seed, parallelism)
     plane = PCA(k=2, inputCol=FEATURES, outputCol="_plane").fit(ready)
     names = segments.name_clusters(segments.cluster_profile(kmeans.transform(ready))).collect()  # k rows
@@ -109,8 +107,7 @@ def choose_k(
 ) -> DataFrame:
     """(k, inertia, silhouette): one best fit per k gives both figures."""
     rows = df.select(*S.SEGMENT_INPUTS)
-    ready = fit_transform(rows).transform(rows).select(FEATURES)
-    ready = _cached(ready)
+    ready = _cached(fit_transform(rows).transform(rows), S.SEGMENT_INPUTS).select(FEATURES)
     found = []
     for k in ks:
         model = _best_of(ready, k, n_init, seed, parallelism)

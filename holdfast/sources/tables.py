@@ -17,16 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that has fewer splits than there are cores.
-
-    A small file with one row group would keep all later column work in one task. A scan with
-    enough splits, any large table, is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def read_accounts_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Header CSV. Money and date stay text so that cleaning can null what does not parse."""
     schema = schema or S.account_schema(money=T.StringType(), date=T.StringType())

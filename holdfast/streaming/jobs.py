@@ -95,8 +95,9 @@ def kpi_windows(scored: DataFrame, at: Column, window: Column, late: str) -> Dat
     tiers = [
         F.count(F.when(F.col("risk_tier") == t, 1)).alias(f"n_{t.lower()}") for t in S.RISK_TIERS
     ]
+    n = F.count(F.lit(1))
     sums = timed.groupBy(window.alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("probability").alias("avg_prob"), *tiers
+        n.alias("n"), audit.mean_probability(audit.probability_units(), n).alias("avg_prob"), *tiers
     )
     names = [f"n_{t.lower()}" for t in S.RISK_TIERS]
     return sums.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "avg_prob", *names)

@@ -47,15 +47,34 @@ def test_labels(spark):
         cleaning.require_columns(ok, ["b", "a"])
 
 
-def test_defaults_fill_absent_columns_and_nulls(spark):
+def test_defaults_fill_absent_columns_and_on_request_nulls(spark):
     df = spark.createDataFrame([(None,), (7,)], "number_of_logins int")
-    rows = cleaning.fill_defaults(df).collect()
+    rows = cleaning.fill_defaults(df, fill_nulls=True).collect()
     assert [r.number_of_logins for r in rows] == [5, 7]
     assert {r.last_active_days for r in rows} == {15}
-    kept = cleaning.fill_defaults(df, fill_nulls=False).collect()
+    kept = cleaning.fill_defaults(df).collect()
     assert [r.number_of_logins for r in kept] == [None, 7]
 
 
+def test_numbers_in_any_spelling(spark):
+    texts = spark.createDataFrame([("12.0", "1.0"), (" 7 ", "Yes"), ("12.5", "No"), ("x", "0"), (None, None)], "tenure string, SeniorCitizen string")
+    texts = texts.withColumn("MonthlyCharges", F.lit("NaN")).withColumn("TotalCharges", F.lit(float("nan")))
+    rows = cleaning.fill_charges(texts).withColumn("senior", cleaning.senior_flag()).collect()
+    assert [r.tenure for r in rows] == [12, 7, 12, 0, 0]
+    assert [r.senior for r in rows] == [1, 1, 0, 0, 0]
+    assert {(r.MonthlyCharges, r.TotalCharges) for r in rows} == {(0.0, 0.0)}
+    typed = spark.createDataFrame([(1.0,), (0.0,), (None,)], "SeniorCitizen double")
+    assert [r[0] for r in typed.select(cleaning.senior_flag()).collect()] == [1, 0, 0]
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(float("nan"), "a"), (1.0, None), (2.0, "b")], "x double, y string")
+    assert cleaning.missing_cells(df).first()[0] == 2
+    report = cleaning.cleaning_report(df).first()
+    assert (report.rows_in, report.missing_before, report.rows_kept) == (3, 2, 1)
+    assert cleaning.clean(df).count() == 1
+
+
 @pytest.mark.parametrize(
     ("tenure", "serving", "training"),
     [(-2, "New", None), (0, "New", "New"), (12, "New", "New"), (13, "Regular", "Regular"), (24, "Regular", "Regular"),
