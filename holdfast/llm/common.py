@@ -74,16 +74,7 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str, rows_p
     The first column cuts the rows into parts at quantiles of it; sums of parts give each part its start,
     and windows run inside parts, so no task sees all rows. ``df`` must come from a written table.
     """
-    by = order[0]
-    found = df.agg(F.count(F.lit(1)).alias("n"), F.count(by).alias("keyed")).first()
-    parts = found.n // rows_per_part + 1
-    part = F.lit(0)
-    if parts > 1 and found.keyed:
-        shares = [k / parts for k in range(1, parts)]
-        cuts = df.agg(F.percentile_approx(by, shares, max(10_000, 20 * parts)).alias("cuts")).first().cuts
-        cuts = sorted(set(cuts))
-        part = F.when(F.col(by).isNull(), -1).otherwise(_place(cuts, by))
-    df = df.withColumn("_part", part.cast("int"))
+    df = df.withColumn("_part", range_part(df, order[0], df.count() // rows_per_part + 1))
     sums = df.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
@@ -92,6 +83,18 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str, rows_p
     return df.join(starts, "_part").withColumn(name, total.cast("long")).drop("_part", "_start")
 
 
+def range_part(df: DataFrame, by: str, parts: int) -> F.Column:
+    """Number of the range of ``by`` that a row lies in, by quantiles from one pass over that column alone.
+
+    Nulls are in -1, before all others. The number of cuts follows ``parts``, not the rows.
+    """
+    cuts: list = []
+    if parts > 1:
+        shares = [k / parts for k in range(1, parts)]
+        cuts = df.agg(F.percentile_approx(by, shares, max(10_000, 20 * parts)).alias("cuts")).first().cuts or []
+    return F.when(F.col(by).isNull(), -1).otherwise(_place(sorted(set(cuts)), by)).cast("int")
+
+
 def _place(cuts: list, by: str) -> F.Column:
     """Number of cuts not above a value, by halving: a tree of comparisons of logarithmic depth."""
     if not cuts:
