@@ -74,27 +74,40 @@ def toxic_types(words: list[list[str]], toxic: np.ndarray) -> set[str]:
     A word start counts as a type of its own only if it is the start of several such words' worth of text:
     of at least three different words, none with half of its neighbourhoods.
     """
+    counts: dict[str, int] = defaultdict(int)
+    sizes = [0, 0]
+    for tokens, label in zip(words, toxic, strict=True):
+        sizes[label] += len(tokens)
+        if label:
+            for word in tokens:
+                for t in _types(word):
+                    counts[t] += 1
+    if not sizes[0] or not sizes[1]:
+        return set()
+    share = sizes[1] / (sizes[0] + sizes[1])
+    enough = math.log(100 * len(counts))
+    # even if none of a type were in clean texts, so many would be needed
+    least = enough / -math.log(share)
+    counts = {t: n for t, n in counts.items() if n >= least}
     around: tuple[dict, dict] = defaultdict(set), defaultdict(set)
     texts: dict[str, int] = defaultdict(int)
     under: dict[str, set[str]] = defaultdict(set)
     for tokens, label in zip(words, toxic, strict=True):
         seen = set()
         for k, word in enumerate(tokens):
-            near = hash((tokens[k - 1] if k else "", tokens[k + 1] if k + 1 < len(tokens) else ""))
+            near = None
             for t in _types(word):
-                around[label][t].add(near)
-                seen.add(t)
+                if t in counts:
+                    near = near or hash((tokens[k - 1] if k else "", tokens[k + 1] if k + 1 < len(tokens) else ""))
+                    around[label][t].add(near)
+                    seen.add(t)
         if label:
             for t in seen:
                 texts[t] += 1
             for word in set(tokens):
                 for t in _types(word)[1:]:
-                    under[t].add(word)
-    n = [sum(map(len, around[label].values())) for label in (0, 1)]
-    if not n[0] or not n[1]:
-        return set()
-    share = n[1] / (n[0] + n[1])
-    enough = math.log(100 * (len(around[0]) + len(around[1])))
+                    if t in counts:
+                        under[t].add(word)
     found = set()
     for t, near in around[1].items():
         yes, no = len(near), len(around[0].get(t, ()))
@@ -102,7 +115,7 @@ def toxic_types(words: list[list[str]], toxic: np.ndarray) -> set[str]:
         if part <= 0.9 or 2 * yes < texts[t]:
             continue
         own = under.get(t)
-        if own is not None and (len(own) < 3 or 2 * max(len(around[1][w]) for w in own) > yes):
+        if own is not None and (len(own) < 3 or 2 * max(len(around[1].get(w, ())) for w in own) > yes):
             continue
         surprise = yes * math.log(part / share) + (no * math.log((1 - part) / (1 - share)) if no else 0.0)
         if surprise >= enough:
@@ -188,9 +201,10 @@ def chain(emit: np.ndarray, first: np.ndarray, start: np.ndarray, moves: np.ndar
     return p.T.ravel()[:n]
 
 
-def fit(texts: list[str], toxic: np.ndarray, segments: int = 12_000, steps: int = 40) -> Field:
+def fit(texts: list[str], toxic: np.ndarray, segments: int = 6_000, steps: int = 40) -> Field:
     """A field for labelled texts; with only one label present, one that finds nothing."""
-    words = [[w.lower() for w in TOKEN.findall(t or "")] for t in texts]
+    same: dict[str, str] = {}
+    words = [[same.setdefault(w, w) for w in TOKEN.findall((t or "").lower())] for t in texts]
     marks = toxic_types(words, toxic)
     if not marks:
         return Field({}, 0.0, np.zeros(2), np.zeros((2, 2)))
@@ -211,7 +225,7 @@ def fit(texts: list[str], toxic: np.ndarray, segments: int = 12_000, steps: int
     used = sorted(t for t, n in counts.items() if n >= 5 and (t in marks or not t.endswith("*")))
     index = {t: i + 1 for i, t in enumerate(used)}
     width = 1 + len(STARTS)
-    x = np.zeros((SEGMENT, len(pieces), width), np.int64)
+    x = np.zeros((SEGMENT, len(pieces), width), np.int32)
     y = np.zeros((SEGMENT, len(pieces)), np.int64)
     real = np.zeros((SEGMENT, len(pieces)), bool)
     for j, (_, part, truth) in enumerate(pieces):
@@ -347,9 +361,9 @@ def learned(
     docs: DataFrame,
     labels: DataFrame,
     learn: F.Column | None = None,
-    fit_toxic: int = 2000,
-    fit_clean: int = 4000,
-    fit_chars: int = 20_000,
+    fit_toxic: int = 1200,
+    fit_clean: int = 2400,
+    fit_chars: int = 10_000,
 ) -> Field:
     """A field fitted to the labelled rows that ``learn`` (a condition on ``doc_id``) admits."""
     admitted = F.lit(True) if learn is None else learn
