@@ -12,6 +12,7 @@ MODULES = (
     "segmentation",
     "attribution",
     "streams",
+    "files",
     "training",
 )
 

@@ -146,7 +146,7 @@ log AS (
   FROM stamped)"""
 
 
-def _log(spark, sf_dir):
+def logged(spark, sf_dir):
     """One logged prediction per account, at a time within its signup day."""
     scored = scoring.score_records(accounts(spark, sf_dir), RAW_CARD.score)
     at = F.timestamp_seconds(
@@ -169,7 +169,7 @@ SELECT prediction_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS logged_at, account_id
 FROM log WHERE risk_tier = 'High' AND churn_prediction ORDER BY ts DESC, prediction_id LIMIT 100""",
 )
 def audit_recent(spark, sf_dir):
-    newest = audit.recent(_log(spark, sf_dir), limit=100, risk_tier="High", churn_only=True)
+    newest = audit.recent(logged(spark, sf_dir), limit=100, risk_tier="High", churn_only=True)
     parsed = audit.parse_inputs(newest, "account_id bigint, tenure int")
     return parsed.select(
         "prediction_id",
@@ -193,7 +193,7 @@ SELECT (SELECT count(*) FROM log) AS total_predictions,
   (SELECT string_agg(risk_tier || '=' || n, ';' ORDER BY risk_tier) FROM tiers) AS tier_breakdown""",
 )
 def audit_stats(spark, sf_dir):
-    return audit.audit_stats(_log(spark, sf_dir))
+    return audit.audit_stats(logged(spark, sf_dir))
 
 
 @query(
@@ -205,7 +205,7 @@ SELECT count(*) AS total,
   count(CASE WHEN risk_tier IN ('High', 'Critical') THEN 1 END) AS high_or_critical FROM log""",
 )
 def history_kpis(spark, sf_dir):
-    return audit.history_kpis(_log(spark, sf_dir))
+    return audit.history_kpis(logged(spark, sf_dir))
 
 
 @query(
@@ -218,5 +218,5 @@ SELECT strftime(date_trunc('month', ts), '%Y-%m-%d %H:%M:%S') AS period, count(*
 FROM log GROUP BY 1""",
 )
 def probability_trend(spark, sf_dir):
-    trend = audit.probability_trend(_log(spark, sf_dir), "month")
+    trend = audit.probability_trend(logged(spark, sf_dir), "month")
     return trend.withColumn("period", _clock("period"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from holdfast import schema as S
 from holdfast.catalog.aggregates import rounded
-from holdfast.catalog.business import _LOG, RAW_CARD
+from holdfast.catalog.business import _LOG, RAW_CARD, logged
 from holdfast.catalog.registry import query
+from holdfast.operators import audit
 from holdfast.operators.scoring import score_records
 from holdfast.session import shared_folder
 from holdfast.sources.accounts import accounts
@@ -15,9 +16,11 @@ from holdfast.sources.tables import table
 from holdfast.streaming import jobs
 
 
-def _account_stream(spark, sf_dir):
+def _account_stream(spark, sf_dir, folder=None):
     schema = table(spark, sf_dir, "orders").schema
     orders = jobs.read_files(spark, sf_dir, schema, glob="orders.parquet")
+    if folder:
+        orders = jobs.read_files(spark, f"{folder}/*", schema)
     return accounts(spark, sf_dir, orders=orders)
 
 
@@ -42,9 +45,16 @@ FROM log JOIN given USING (account_id)""",
 def stream_score_batch(spark, sf_dir):
     log, aside = shared_folder(spark, "audit"), shared_folder(spark, "quarantine")
     progress = shared_folder(spark, "progress")
-    stream = _account_stream(spark, sf_dir)
-    jobs.score_stream(stream, RAW_CARD.score, _at(), log, aside, progress, late="365 days").awaitTermination()
-    scored = spark.read.schema(S.AUDIT_SCHEMA).parquet(log).select(
+    # the newer half arrives first, then the older half, then part of the newer half once more
+    orders, arrived = table(spark, sf_dir, "orders"), shared_folder(spark, "arrivals")
+    middle = F.lit(orders.agg(F.percentile_approx(F.unix_date(F.to_date("o_orderdate")), 0.5)).first()[0])
+    day = F.unix_date(F.to_date("o_orderdate"))
+    parts = (orders.where(day >= middle), orders.where(day < middle), orders.where((day >= middle) & (F.col("o_orderkey") % 3 == 0)))
+    for number, part in enumerate(parts):
+        part.write.parquet(f"{arrived}/{number}")
+        stream = _account_stream(spark, sf_dir, arrived)
+        jobs.score_stream(stream, RAW_CARD.score, _at(), log, aside, progress).awaitTermination()
+    scored = audit.read_audit(spark, log).select(
         "prediction_id", F.lit("scored").alias("outcome"), "probability", "risk_tier", "clv_estimate",
         F.lit("").alias("errors"),
     )
@@ -102,3 +112,24 @@ def stream_user_features(spark, sf_dir):
     rows = _updates(spark, sums, ["user_id", "start"])
     clock = {"start": _clock("start"), "last_active": _clock("last_active")}
     return rounded(rows.withColumns(clock), 4, "usage_value")
+
+
+@query(
+    "audit_written_log",
+    _LOG
+    + f"""
+SELECT risk_tier, count(*) AS n, CAST(sum(CAST(round(probability * 10000) AS BIGINT)) AS BIGINT) AS prob_units,
+  count(CASE WHEN churn_prediction THEN 1 END) AS churners FROM log GROUP BY 1""",
+)
+def audit_written_log(spark, sf_dir):
+    """A batch job and its retry, then a second batch that holds everything again: one row per id."""
+    path = shared_folder(spark, "audit")
+    rows = logged(spark, sf_dir)
+    first = F.xxhash64("prediction_id") % 2 == 0
+    for batch, part in (("a", rows.where(first)), ("a", rows.where(first)), ("b", rows)):
+        audit.append_audit(part, path, batch)
+    log = audit.read_audit(spark, path)
+    churners = F.count(F.when(F.col("churn_result"), 1)).alias("churners")
+    return log.groupBy("risk_tier").agg(
+        F.count(F.lit(1)).alias("n"), audit.probability_units().alias("prob_units"), churners
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from holdfast import schema as S
 from holdfast.functions.hashing import prediction_id
+from holdfast.session import folder_exists
 
 
 def audit_rows(scored: DataFrame, at: Column, inputs: list[str], key: str = S.KEY) -> DataFrame:
@@ -24,13 +25,34 @@ def audit_rows(scored: DataFrame, at: Column, inputs: list[str], key: str = S.KE
     )
 
 
-def append_audit(rows: DataFrame, path: str) -> None:
-    rows.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
+BATCH = "batch_id"
+
+
+def append_rows(rows: DataFrame, path: str, batch: str) -> None:
+    """Append log rows once per ``prediction_id``, whatever the time of the record.
+
+    Batch jobs and streams write the same layout: a folder per batch, months below it. A batch that runs again
+    replaces its own folder, so a retry changes nothing; ids that another batch holds for the same month are
+    left out, and the month in the join keeps the look-up to the months at hand. Rows are rebalanced by month,
+    so that a task writes few files and a large month is split.
+    """
+    rows = rows.withColumn("month", F.date_format("timestamp", "yyyy-MM")).dropDuplicates(["month", "prediction_id"])
+    spark = rows.sparkSession
+    if folder_exists(spark, path):
+        known = spark.read.schema(f"prediction_id string, {BATCH} string, month string").parquet(path)
+        known = known.where(F.col(BATCH) != batch).select("month", "prediction_id")
+        rows = rows.join(known, ["month", "prediction_id"], "left_anti")
+    rows = rows.hint("rebalance", "month")
+    rows.write.mode("overwrite").partitionBy("month").parquet(f"{path}/{BATCH}={batch}")
+
+
+def append_audit(rows: DataFrame, path: str, batch: str) -> None:
+    append_rows(rows, path, batch)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([*S.AUDIT_SCHEMA.fields, T.StructField("day", T.DateType())])
-    return spark.read.schema(schema).parquet(path)
+    partitions = [T.StructField(BATCH, T.StringType()), T.StructField("month", T.StringType())]
+    return spark.read.schema(T.StructType([*S.AUDIT_SCHEMA.fields, *partitions])).parquet(path)
 
 
 def recent(

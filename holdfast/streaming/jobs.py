@@ -51,35 +51,34 @@ def score_stream(
     audit_path: str,
     quarantine_path: str,
     checkpoint: str,
-    late: str = "1 day",
     key: str = S.KEY,
     once: bool = True,
     every: str = "1 minute",
 ) -> StreamingQuery:
     """Validate and score arriving records; good ones go to the audit log, bad ones aside.
 
-    A prediction id seen before within the watermark is dropped.
+    Every record ends up in one of the two, however late it is: there is no watermark. A prediction id that
+    either log holds from another micro-batch is left out there.
     """
-    stamped = records.withColumn("_at", at).withWatermark("_at", late)
-    stamped = stamped.withColumn("_id", prediction_id(F.col(key), F.col("_at")))
-    unique = stamped.dropDuplicatesWithinWatermark(["_id"])
-    inputs = [c for c in records.columns]
+    stamped = records.withColumn("_at", at)
+    inputs = list(records.columns)
 
     def sink(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        good, bad = validation.split_valid(batch.drop("_id"))
+        good, bad = validation.split_valid(batch)
         scored = score_records(good, scorer)
-        _write(audit.audit_rows(scored, F.col("_at"), inputs, key), audit_path, number)
+        name = f"stream-{number:012d}"
+        audit.append_rows(audit.audit_rows(scored, F.col("_at"), inputs, key), audit_path, name)
         aside = bad.select(
             prediction_id(F.col(key), F.col("_at")).alias("prediction_id"),
             F.col("_at").alias("timestamp"),
             F.to_json(F.struct(*inputs)).alias("input_json"),
             "errors",
         )
-        _write(aside, quarantine_path, number)
+        audit.append_rows(aside, quarantine_path, name)
         batch.unpersist()
 
-    return _start(unique, sink, checkpoint, "append", once, every)
+    return _start(stamped, sink, checkpoint, "append", once, every)
 
 
 def time_window(column: str, size: str, slide: str | None = None, session: bool = False) -> Column:

@@ -21,8 +21,10 @@ def test_audit_append_and_query(spark, sf_dir, tmp_path):
     scored = scoring.score_records(accounts(spark, sf_dir), DEFAULT_CARD.score)
     rows = audit.audit_rows(scored, _at(), ["account_id", "tenure"])
     path = str(tmp_path / "log")
-    audit.append_audit(rows.where("risk_tier = 'High'"), path)
-    audit.append_audit(rows.where("risk_tier <> 'High'"), path)
+    audit.append_audit(rows.where("risk_tier = 'High'"), path, "a")
+    audit.append_audit(rows.where("risk_tier <> 'High'"), path, "b")
+    audit.append_audit(rows.where("risk_tier <> 'High'"), path, "b")  # a retry
+    audit.append_audit(rows, path, "c")  # nothing new
     log = audit.read_audit(spark, path)
     assert log.count() == rows.count()
     newest = audit.recent(log, 5, risk_tier="High", churn_only=True).collect()
@@ -85,8 +87,8 @@ def test_stream_scores_equal_batch_and_drop_repeats(spark, sf_dir, tmp_path):
     rows.limit(50).coalesce(1).write.mode("append").parquet(str(source))  # repeats
     stream = jobs.read_files(spark, str(source), S.account_schema(), files_per_batch=2)
     paths = [str(tmp_path / n) for n in ("log", "aside", "progress")]
-    jobs.score_stream(stream, DEFAULT_CARD.score, _at(), *paths, late="5000 days").awaitTermination()
-    log = spark.read.schema(S.AUDIT_SCHEMA).parquet(paths[0])
+    jobs.score_stream(stream, DEFAULT_CARD.score, _at(), *paths).awaitTermination()
+    log = audit.read_audit(spark, paths[0])
     aside = spark.read.parquet(paths[1])
     assert log.count() + aside.count() == rows.count()
     assert aside.count() == rows.where("TotalCharges is null").count()
@@ -95,8 +97,22 @@ def test_stream_scores_equal_batch_and_drop_repeats(spark, sf_dir, tmp_path):
     names = ["prediction_id", "probability", "risk_tier", "clv_estimate"]
     assert log.select(*names).exceptAll(batch.select(*names)).isEmpty()
     # Nothing new: a restart adds nothing.
-    jobs.score_stream(stream, DEFAULT_CARD.score, _at(), *paths, late="5000 days").awaitTermination()
-    assert spark.read.schema(S.AUDIT_SCHEMA).parquet(paths[0]).count() == log.count()
+    jobs.score_stream(stream, DEFAULT_CARD.score, _at(), *paths).awaitTermination()
+    assert audit.read_audit(spark, paths[0]).count() == log.count()
+
+
+def test_late_records_reach_a_log(spark, sf_dir, tmp_path):
+    """The second micro-batch is years older than the first; nothing may vanish."""
+    rows = accounts(spark, sf_dir).persist()
+    middle = rows.agg(F.percentile_approx(F.unix_date("signup_date"), 0.5)).first()[0]
+    newer = F.unix_date("signup_date") >= middle
+    paths = [str(tmp_path / n) for n in ("log", "aside", "progress")]
+    for part in (newer, ~newer):
+        rows.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.read_files(spark, str(tmp_path / "in"), S.account_schema())
+        jobs.score_stream(stream, DEFAULT_CARD.score, _at(), *paths).awaitTermination()
+    ids = audit.read_audit(spark, paths[0]).select("prediction_id").union(spark.read.parquet(paths[1]).select("prediction_id"))
+    assert ids.count() == ids.distinct().count() == rows.count()
 
 
 def _events(spark, folder):
