@@ -109,15 +109,19 @@ def _place(cuts: list, by: str) -> F.Column:
     return node(0, len(cuts))
 
 
-def numbered(df: DataFrame, key: str, order: list[str], name: str, rows_per_part: int = 20_000) -> DataFrame:
+def numbered(
+    df: DataFrame, key: str, order: list[str], name: str, rows_per_part: int = 20_000, ranged: bool = False
+) -> DataFrame:
     """``df`` with a gapless number from 0 for each row within its ``key``.
 
     Rows are dealt to parts by a hash of the order columns, so that a key holding most rows is numbered by
-    many tasks: counts per key and part give each part its first number. ``df`` must come from a written
-    table, and ``key`` may not be null.
+    many tasks: counts per key and part give each part its first number. With ``ranged`` the parts are ranges of
+    the first order column, which should hardly repeat, and numbers follow its order. ``df`` must come from
+    a written table, and ``key`` may not be null.
     """
     parts = max(df.count() // rows_per_part, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    df = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    part = range_part(df, order[0], parts) if ranged else F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int")
+    df = df.withColumn("_part", part)
     counts = df.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))

@@ -13,8 +13,9 @@ of a group of copies:
    the overlap so far; it leaves a subtree when the remaining lengths cannot reach the bound, or when
    all sets there are in its component already.
 
-Large clusters are first joined block by block with their first block; only sets that then are not in the
-cluster's main component are compared with all blocks. All of this is exact: no partner is left out.
+Large clusters are cut into blocks in order of size. Every block is joined with the next one, which makes one
+component of a group of copies; then only such pairs of blocks are joined whose sizes allow links and that
+are not one component already. All of this is exact: no partner is left out.
 
 Defined cases: null or blank texts have empty sets and link with nothing; rows of one id count as linked;
 a row without an id takes no part and has no component; an empty table gives no rows; other columns are
@@ -41,9 +42,9 @@ PERCENT = 75
 BLOCK = 512
 #: Bits of the filter that is sent to every task of the second reading; 2 MB whatever the input.
 FILTER_BITS = 1 << 24
-#: Common n-grams whose counts are sent to every task; the rest count as rare.
-MOST_COMMON = 1 << 16
-COMMON_FROM = 8
+#: Common n-grams whose counts are sent to every task (4 MB), and how often one must be in a batch of sets.
+MOST_COMMON = 1 << 18
+COMMON_FROM = 2
 
 U = np.uint64
 _rng = np.random.default_rng(20)
@@ -107,7 +108,10 @@ def _low(hashes: np.ndarray) -> np.ndarray:
 
 
 def _dealt(docs: DataFrame, n: int, parts: int) -> DataFrame:
-    """part, chunk and, for the documents of a chunk, the sizes and fingerprints of their n-grams there."""
+    """part, chunk and, for the documents of a chunk, the sizes and fingerprints of their n-grams there.
+
+    Part 0 also has the documents' ids and the digests of their whole sets.
+    """
     kind = docs.schema["doc_id"].dataType
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +126,9 @@ def _dealt(docs: DataFrame, n: int, parts: int) -> DataFrame:
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             low, owner = _low(hashes)[order], owner[order]
             ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
-            none = pa.array([None], ids.type)
+            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            digests = pa.array([digest], pa.list_(pa.binary()))
+            none, no_digests = pa.array([None], ids.type), pa.array([None], digests.type)
             used = [p for p in range(parts) if cuts[p + 1] > cuts[p] or not p]
             counts = [np.bincount(owner[cuts[p] : cuts[p + 1]], minlength=len(sets)).astype("<u4") for p in used]
             yield pa.RecordBatch.from_arrays(
@@ -130,27 +136,24 @@ def _dealt(docs: DataFrame, n: int, parts: int) -> DataFrame:
                     pa.array(used, pa.int32()),
                     pa.array([(task << 32) + serial] * len(used), pa.int64()),
                     pa.concat_arrays([none if p else ids for p in used]),
+                    pa.concat_arrays([no_digests if p else digests for p in used]),
                     pa.array([c.tobytes() for c in counts], pa.binary()),
                     pa.array([low[cuts[p] : cuts[p + 1]].tobytes() for p in used], pa.binary()),
                 ],
-                ["part", "chunk", "ids", "sizes", "marks"],
+                ["part", "chunk", "ids", "digests", "sizes", "marks"],
             )
             serial += 1
 
-    schema = f"part int, chunk long, ids array<{kind.simpleString()}>, sizes binary, marks binary"
+    schema = f"part int, chunk long, ids array<{kind.simpleString()}>, digests array<binary>, sizes binary, marks binary"
     return docs.select("doc_id", "text").mapInArrow(deal, schema)
 
 
 def _count_part(table: pa.Table) -> pa.Table:
-    """For one part: how many n-grams of each document occur elsewhere, and the most common n-grams."""
+    """For one part: how many n-grams of each document occur elsewhere."""
     marks = [np.frombuffer(m.as_buffer(), "<u4") for m in table["marks"]]
     every = np.sort(np.concatenate(marks))
-    first = np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else np.zeros(0, bool)
-    values = every[first]
-    counts = np.diff(np.concatenate([np.flatnonzero(first), [len(every)]]))
-    shared = values[counts > 1]
-    common = np.flatnonzero(counts >= COMMON_FROM)
-    common = common[np.lexsort((values[common], -counts[common]))][:MOST_COMMON]
+    shared = every[1:][every[1:] == every[:-1]]
+    shared = shared[np.concatenate([[True], shared[1:] != shared[:-1]])] if len(shared) else shared
     found = []
     for mine, sizes in zip(marks, table["sizes"], strict=True):
         sizes = np.frombuffer(sizes.as_buffer(), "<u4")
@@ -160,95 +163,88 @@ def _count_part(table: pa.Table) -> pa.Table:
             np.cumsum(shared[place] == mine, out=hit[1:])
         ends = np.cumsum(sizes, dtype=np.int64)
         found.append((hit[ends] - hit[ends - sizes]).astype("<u4").tobytes())
-    rows = table.num_rows
-    part = table["part"][0].as_py() if rows else 0
-    none = [None]
-    return pa.table(
-        {
-            "part": pa.array([part] * (rows + 1), pa.int32()),
-            "chunk": pa.concat_arrays([*table["chunk"].chunks, pa.array(none, pa.int64())]),
-            "ids": pa.concat_arrays([*table["ids"].chunks, pa.array(none, table["ids"].type)]),
-            "sizes": pa.concat_arrays([*table["sizes"].chunks, pa.array(none, pa.binary())]),
-            "shared": pa.array([*found, None], pa.binary()),
-            "common": pa.array(none * rows + [values[common].tobytes()], pa.binary()),
-            "counts": pa.array(none * rows + [counts[common].astype("<u4").tobytes()], pa.binary()),
-        }
-    )
+    return table.select(["chunk", "ids", "digests", "sizes"]).append_column("shared", pa.array(found, pa.binary()))
 
 
 def _sum_chunk(table: pa.Table) -> pa.Table:
-    """For one chunk of documents: size and shared n-grams, added up over the parts."""
+    """For one chunk of documents: digest, size and shared n-grams, added up over the parts."""
     add = lambda name: sum(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in table[name])
-    ids = next(x.values for x in table["ids"] if x.is_valid)
-    return pa.table({"doc_id": ids, "n": pa.array(add("sizes")), "shared": pa.array(add("shared"))})
+    ids, digests = (next(x.values for x in table[name] if x.is_valid) for name in ("ids", "digests"))
+    return pa.table({"doc_id": ids, "digest": digests, "n": pa.array(add("sizes")), "shared": pa.array(add("shared"))})
 
 
-def _common(counted: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of the most common n-grams, sorted by key; at most ``MOST_COMMON``."""
+def _common(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, counts) of the most common n-grams of the classes, sorted; at most ``MOST_COMMON``.
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    They only shape the global order: any other choice gives the same links.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, marks, counts in zip(*batch.columns, strict=True):
-                low = np.frombuffer(marks.as_buffer(), "<u4").astype(np.int64)
-                n = np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((part.as_py() << 32) + low), pa.array(n)], ["key", "n"])
+            cells = [np.frombuffer(cell.as_buffer(), "<u8") for cell in batch.column(0)]
+            values, counts = np.unique(np.concatenate([*cells, np.zeros(0, "<u8")]), return_counts=True)
+            often = counts >= COMMON_FROM
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["gram", "n"]
+            )
 
-    rows = counted.where("common is not null").select("part", "common", "counts")
-    top = rows.mapInArrow(spread, "key long, n long").orderBy(F.desc("n"), "key").limit(MOST_COMMON).toPandas()
-    top = top.sort_values("key")
-    return top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    rows = classes.select("hashes").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    top = rows.orderBy(F.desc("n"), "gram").limit(MOST_COMMON).toPandas()
+    keys = top["gram"].to_numpy(np.int64).view(U)
+    order = np.argsort(keys)
+    return keys[order], top["n"].to_numpy(np.int64)[order]
 
 
-def _ordered(hashes: np.ndarray, parts: int, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A set in the global order, rare n-grams first, and the counts of its members (0: rare)."""
+def _ordered(hashes: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A set in the global order, rare n-grams first."""
     if not len(keys):
-        return hashes, np.zeros(len(hashes), np.int64)
-    key = (_part(hashes, parts).astype(np.int64) << 32) + _low(hashes).astype(np.int64)
-    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    weight = np.where(keys[place] == key, counts[place], 0)
-    order = np.lexsort((hashes, weight))
-    return hashes[order], weight[order]
+        return hashes
+    place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    weight = np.where(keys[place] == hashes, counts[place], 0)
+    return hashes[np.lexsort((hashes, weight))]
+
 
+def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """doc_id, n and set of the documents whose id is wanted.
 
-def _survivor_sets(docs: DataFrame, survivors: DataFrame, n: int) -> DataFrame:
-    """doc_id, n, digest and set of the documents that can link."""
+    A bit filter of fixed size over hashed ids keeps most other texts from being shuffled; the join is exact.
+    """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     bits = (
-        survivors.select((slot + 1).alias("slot"))  # these functions count from 1
+        wanted.select((slot + 1).alias("slot"))  # these functions count from 1
         .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
         .collect()
     )
-    filter_ = np.zeros(FILTER_BITS, bool)
-    width = 1 << 15
+    packed = np.zeros(FILTER_BITS // 8, np.uint8)
+    width = 1 << 12
     for row in bits:
-        one = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
-        filter_[(row.bucket - 1) * width : row.bucket * width] = one[:width]
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_))
+        packed[(row.bucket - 1) * width : row.bucket * width] = np.frombuffer(row.bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = shared.value
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = shared.value
         for batch in batches:
             slots = batch.column(2).to_numpy(False)
-            hit = (packed[slots >> 3] >> (7 - (slots & 7))) & 1
-            some = batch.filter(pa.array(hit.astype(bool)))
-            for piece in small_batches(iter([some]), most_bytes=2 << 20):
-                sets = shingle_sets(piece.column(1).to_pylist(), n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                    ],
-                    ["doc_id", "n", "digest", "hashes"],
-                )
+            hit = (filter_[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(hit.astype(bool))).select([0, 1])
 
-    found = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(
-        gather, f"doc_id {kind}, n long, digest binary, hashes binary"
-    )
-    return found.join(survivors.select("doc_id").distinct(), "doc_id", "left_semi")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, most_bytes=2 << 20):
+            sets = shingle_sets(batch.column(1).to_pylist(), n)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                ],
+                ["doc_id", "n", "hashes"],
+            )
+
+    some = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(keep, f"doc_id {kind}, text string")
+    exact = some.join(wanted.select("doc_id"), "doc_id", "left_semi")
+    return exact.mapInArrow(gather, f"doc_id {kind}, n long, hashes binary")
 
 
 def _needed(n: int, percent: int) -> int:
@@ -256,7 +252,7 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _prefixes(classes: DataFrame, parts: int, common, percent: int) -> DataFrame:
+def _prefixes(classes: DataFrame, common, percent: int) -> DataFrame:
     """gram, doc_id: the rarest n-grams of each class, so many that linked classes share one."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +260,7 @@ def _prefixes(classes: DataFrame, parts: int, common, percent: int) -> DataFrame
         for batch in batches:
             grams, sizes = [], []
             for cell in batch.column(1):
-                hashes, _ = _ordered(np.frombuffer(cell.as_buffer(), "<u8"), parts, keys, counts)
+                hashes = _ordered(np.frombuffer(cell.as_buffer(), "<u8"), keys, counts)
                 grams.append(hashes[: len(hashes) - _needed(len(hashes), percent) + 1])
                 sizes.append(len(grams[-1]))
             if grams:
@@ -381,6 +377,38 @@ def _numbered_sets(cells: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def _meeting(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """A label per set; sets that can link have the same one: the prefix filter with exact counts.
+
+    ``sets`` number the most common n-gram 0 and lack those that only one set has; these come first of all
+    in the rarest-first order that the filter takes.
+    """
+    root = np.arange(len(sets))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    grams, owners = [], []
+    for i, (own, size) in enumerate(zip(sets, sizes.tolist(), strict=True)):
+        first = size - _needed(size, percent) + 1 - (size - len(own))
+        if first > 0:
+            grams.append(own[::-1][:first])
+            owners.append(np.full(len(grams[-1]), i))
+    if grams:
+        gram, owner = np.concatenate(grams), np.concatenate(owners)
+        order = np.argsort(gram, kind="stable")
+        gram, owner = gram[order], owner[order]
+        near = np.flatnonzero(gram[1:] == gram[:-1])
+        pairs = np.unique(np.stack([owner[near], owner[near + 1]]), axis=1)
+        for a, b in pairs.T.tolist():
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in range(len(sets))])
+
+
 def _join_groups(table: pa.Table, percent: int) -> pa.Table:
     """Links within each cluster of the table; sets that share a ``tie`` are in one component already."""
     empty = table.schema.field("doc_id").type
@@ -397,83 +425,81 @@ def _join_groups(table: pa.Table, percent: int) -> pa.Table:
         if len(rows) < 2:
             continue
         _, groups = np.unique(ties[rows], return_inverse=True)
-        for a, b in joined(_numbered_sets([cells[r] for r in rows]), sizes[rows], groups, percent):
-            left.append(int(rows[a]))
-            right.append(int(rows[b]))
+        sets = _numbered_sets([cells[r] for r in rows])
+        labels = _meeting(sets, sizes[rows], percent)
+        order_ = np.argsort(labels, kind="stable")
+        ends = np.concatenate([np.flatnonzero(np.diff(labels[order_])) + 1, [len(rows)]])
+        for start, end in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+            some = order_[start:end]
+            if len(some) > 1 and len(np.unique(groups[some])) > 1:
+                for a, b in joined([sets[k] for k in some], sizes[rows][some], groups[some], percent):
+                    left.append(int(rows[some[a]]))
+                    right.append(int(rows[some[b]]))
     return pa.table(
         {"u": ids.take(pa.array(left, pa.int64())).cast(empty), "v": ids.take(pa.array(right, pa.int64())).cast(empty)}
     )
 
 
 def _links(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    members = members.select(*dict.fromkeys([*keys, "cluster", "doc_id", "n", "hashes", "tie"]))
     kind = members.schema["doc_id"].dataType.simpleString()
     return members.groupBy(*keys).applyInArrow(lambda t: _join_groups(t, percent), f"u {kind}, v {kind}")
 
 
 def _class_links(classes: DataFrame, clusters: DataFrame, percent: int, block: int) -> DataFrame:
-    """u, v: links that tie together all classes of a component."""
+    """u, v: links that tie together all classes of a component.
+
+    Where each class goes is worked out on ids and sizes; the sets are shuffled once per step.
+    """
     spark = classes.sparkSession
     member = classes.join(clusters, classes["doc_id"] == clusters["node"], "left").select(
-        "doc_id", "n", "hashes", F.coalesce("root", "doc_id").alias("cluster")
+        "doc_id", "n", F.coalesce("root", "doc_id").alias("cluster")
     )
     sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
-    member = settle(member.join(sizes.where("members > 1"), "cluster"), "clusters")
-    small = member.where(F.col("members") <= block).withColumn("tie", F.col("doc_id"))
+    member = settle(member.join(sizes.where("members > 1"), "cluster").distinct(), "clusters")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    small = small.withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(buckets)))
-    found = _links(small.select("bucket", "doc_id", "n", "hashes", "cluster", "tie"), ["bucket"], percent)
-    found = settle(found, "links")
+    small = member.where(F.col("members") <= block)
+    small = small.select("doc_id", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(buckets)).alias("bucket"))
+    small = classes.join(small.distinct(), "doc_id").withColumn("tie", F.col("doc_id"))
+    found = settle(_links(small, ["bucket"], percent), "links")
     large = member.where(F.col("members") > block)
     if large.isEmpty():
         return found
-    rows = settle(
-        numbered(settle(large.select("cluster", "n", "doc_id"), "large"), "cluster", ["n", "doc_id"], "number").select(
-            "doc_id", F.expr(f"number div {block}").cast("int").alias("block")
-        ),
+    # equal sizes are told apart by a hash, so that ranges of it are even
+    by_size = (F.col("n") + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)).alias("size")
+    blocks = settle(
+        numbered(large.select("cluster", "doc_id", "n", by_size), "cluster", ["size", "doc_id"], "number", ranged=True)
+        .select("cluster", "doc_id", "n", F.expr(f"number div {block}").cast("int").alias("block")),
         "blocks",
     )
-    large = large.join(rows, "doc_id").withColumn("tie", F.col("doc_id"))
-    # every block with the first one
-    others = large.where("block > 0").withColumn("pair", F.col("block"))
-    last = large.groupBy("cluster").agg(F.max("block").alias("last"))
-    heads = large.where("block = 0").join(last, "cluster")
-    heads = heads.withColumn("pair", F.explode(F.sequence(F.least(F.lit(1), "last"), "last")))
-    columns = ["cluster", "pair", "doc_id", "n", "hashes", "tie"]
-    first = settle(
-        _links(others.select(*columns).unionByName(heads.select(*columns)), ["cluster", "pair"], percent), "links"
-    )
-    # what is not in its cluster's main component is compared with every block
+    # blocks are in order of size: first every block with itself and the next one
+    last = blocks.groupBy("cluster").agg(F.max("block").alias("last"))
+    runs = F.filter(F.array(F.col("block") - 1, F.col("block")), lambda p: (p >= 0) & (p < F.col("last")))
+    places = blocks.join(last, "cluster").select("cluster", "doc_id", F.explode(runs).alias("pair"))
+    placed = classes.join(places.distinct(), "doc_id").withColumn("tie", F.col("doc_id"))
+    first = settle(_links(placed, ["cluster", "pair"], percent), "links")
+    # then the other pairs of blocks whose sizes allow links, unless they are one component already
     root = components(first)
-    tied = (
-        large.drop("tie")
-        .join(root, large["doc_id"] == root["node"], "left")
+    tied = settle(
+        blocks.join(root, blocks["doc_id"] == root["node"], "left")
         .withColumn("tie", F.coalesce("root", "doc_id"))
-        .drop("node", "root")
+        .drop("node", "root"),
+        "tied",
     )
-    tied = settle(tied, "tied")
-    weight = tied.groupBy("cluster", "tie").agg(F.count(F.lit(1)).alias("k"))
-    main = weight.groupBy("cluster").agg(F.max(F.struct("k", "tie"))["tie"].alias("main"))
-    stray = tied.join(main, "cluster").where("tie <> main").drop("main")
-    if stray.isEmpty():
-        return found.unionByName(first)
-    key = settle(
-        numbered(settle(stray.select("cluster", "n", "doc_id"), "strays"), "cluster", ["n", "doc_id"], "number").select(
-            "doc_id", F.expr(f"number div {block}").cast("int").alias("group")
-        ),
-        "stray-blocks",
+    reach = tied.groupBy("cluster", "block").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("tie").alias("low"), F.max("tie").alias("high")
     )
-    groups = settle(stray.join(key, "doc_id"), "stray-groups")
-    spans = groups.groupBy("cluster", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    reach = tied.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    pairs = spans.join(reach, "cluster").where(
-        f"most * 100 >= low * {percent} and least * {percent} <= high * 100"
+    one, two = reach.alias("a"), reach.alias("b")
+    pairs = one.join(two, "cluster").where(
+        f"b.block > a.block + 1 and a.most * 100 >= b.least * {percent}"
+        " and not (a.low = a.high and b.low = b.high and a.low = b.low)"
     )
-    pairs = settle(pairs.select("cluster", "group", "block"), "stray-pairs")
-    columns = ["cluster", "group", "block", "doc_id", "n", "hashes", "tie"]
-    one = groups.drop("block").join(pairs, ["cluster", "group"]).select(*columns)
-    two = tied.join(pairs, ["cluster", "block"]).join(key.withColumnRenamed("group", "own"), "doc_id", "left")
-    two = two.where("own is null or own <> group").select(*columns)
-    second = settle(_links(one.unionByName(two), ["cluster", "group", "block"], percent), "links")
+    pairs = settle(pairs.select("cluster", F.col("a.block").alias("i"), F.col("b.block").alias("j")), "block-pairs")
+    if pairs.isEmpty():
+        return found.unionByName(first)
+    ends = pairs.withColumn("block", F.explode(F.array("i", "j")))
+    places = tied.join(ends, ["cluster", "block"]).select("cluster", "i", "j", "doc_id", "tie").distinct()
+    second = settle(_links(classes.join(places, "doc_id"), ["cluster", "i", "j"], percent), "links")
     return found.unionByName(first).unionByName(second)
 
 
@@ -495,23 +521,23 @@ def groups(
         .groupBy("part")
         .applyInArrow(
             _count_part,
-            f"part int, chunk long, ids array<{kind}>, sizes binary, shared binary, common binary, counts binary",
+            f"chunk long, ids array<{kind}>, digests array<binary>, sizes binary, shared binary",
         ),
         "gram-counts",
     )
-    chunks = counted.where("chunk is not null").select("chunk", "ids", "sizes", "shared")
     sizes = settle(
-        chunks.groupBy("chunk").applyInArrow(_sum_chunk, f"doc_id {kind}, n long, shared long"), "set-sizes"
+        counted.groupBy("chunk").applyInArrow(_sum_chunk, f"doc_id {kind}, digest binary, n long, shared long"),
+        "set-sizes",
     )
-    common = spark.sparkContext.broadcast(_common(counted, parts))
     survivors = sizes.where(f"doc_id is not null and n > 0 and shared * 100 >= n * {percent}")
-    sets = settle(_survivor_sets(rows.where("doc_id is not null"), survivors, n), "sets")
-    # classes of equal sets; rows of one id belong together too
-    least = sets.groupBy("digest").agg(F.min("doc_id").alias("root"))
-    copies = settle(sets.join(least, "digest").where("doc_id <> root").select(F.col("doc_id").alias("u"), F.col("root").alias("v")), "copies")
-    classes = sets.join(least.withColumnRenamed("root", "doc_id"), ["digest", "doc_id"], "left_semi")
-    classes = settle(classes.dropDuplicates(["digest", "doc_id"]).select("doc_id", "n", "hashes"), "classes")
-    prefixes = settle(_prefixes(classes, parts, common, percent), "prefixes")
+    # classes of equal sets, by their least id
+    least = survivors.groupBy("digest").agg(F.min("doc_id").alias("root"))
+    copies = survivors.join(least, "digest").where("doc_id <> root")
+    copies = settle(copies.select(F.col("doc_id").alias("u"), F.col("root").alias("v")), "copies")
+    wanted = settle(least.select(F.col("root").alias("doc_id")).distinct(), "class-ids")
+    classes = settle(_sets_of(rows.where("doc_id is not null"), wanted, n), "classes")
+    common = spark.sparkContext.broadcast(_common(classes))
+    prefixes = settle(_prefixes(classes, common, percent), "prefixes")
     meet = prefixes.groupBy("gram").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("most")).where("v <> most")
     edges = prefixes.join(meet.select("gram", "v"), "gram").select(F.col("doc_id").alias("u"), "v")
     clusters = settle(components(edges), "cluster-roots")
