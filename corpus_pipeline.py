@@ -17,8 +17,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.llm import mixing, packing, personal_data, prefix_tree, toxicity
-from holdfast.llm.common import documents, settle, tokenizer_path
-from holdfast.session import ship_package
+from holdfast.llm.common import documents, prepare, settle, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,7 +27,7 @@ def stage(fn: Stage) -> Stage:
 
     @wraps(fn)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return fn(spark, docs, sf_dir)
 
     return call

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from holdfast.session import shared_folder
+from holdfast.session import shared_folder, ship_package
 
 #: Word separators of the text contracts: blank, tab, line feed, vertical tab, form feed, return.
 SPACE = " \t\n\x0b\x0c\r"
@@ -28,6 +28,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Rows that go to a Python worker at once: whole texts, so a small number bounds both sides' memory.
+ARROW_ROWS = "1000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the executors and set the size of Arrow batches; the queries run later."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write the rows to the shared folder and go on from there; every later reader sees the same rows."""
     spark = df.sparkSession

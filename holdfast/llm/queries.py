@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import bitsliced, language, mixing, packing, personal_data, prefix_tree, quality, token_files, toxicity, viterbi
-from holdfast.llm.common import documents, held_out, tokenizer_path
+from holdfast.llm.common import documents, held_out, prepare, tokenizer_path
 from holdfast.llm.oracles import ORACLES  # noqa: F401
-from holdfast.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +20,7 @@ QUERIES: dict[str, Query] = {}
 def query(fn: Query) -> Query:
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run
