@@ -49,18 +49,25 @@ def _likelihoods(counts: DataFrame, exponents: Mapping[str, Sequence[float]]) ->
     # Moments about the transformed mean: far exponents squeeze all values into a narrow band.
     middle = counts.groupBy("metric").agg((F.sum(w * x) / F.sum("w")).alias("middle"))
     rows = rows.join(F.broadcast(middle), "metric")  # one row per column
-    exponent = F.col("exponent")
-    rows = rows.withColumn("y", yeo_johnson(x, exponent) - yeo_johnson(F.col("middle"), exponent))
+    exponent, middle = F.col("exponent"), F.col("middle")
+    # in units of the middle's power, so that no digits are lost however far the exponent
+    level = F.when(middle >= 0, F.log1p(middle)).otherwise(0.0)
+    step = F.log1p(x) - level
+    near = F.when(F.abs(exponent) < 1e-9, step).otherwise(F.expm1(exponent * step) / exponent)
+    far = (yeo_johnson(x, exponent) - yeo_johnson(middle, exponent)) * F.exp(-exponent * level)
+    rows = rows.withColumn("y", F.when((x >= 0) & (middle >= 0), near).otherwise(far)).withColumn("level", level)
     stats = rows.groupBy("metric", "exponent").agg(
         F.sum("w").alias("n"),
         F.sum(w * F.col("y")).alias("_y"),
         F.sum(w * F.col("y") * F.col("y")).alias("_yy"),
         F.sum(w * F.signum(x) * F.log1p(F.abs(x))).alias("_jac"),
+        F.max("level").alias("_level"),
     )
     mean = F.col("_y") / F.col("n")
     spread = F.col("_yy") / F.col("n") - mean * mean
     usable = F.when(spread > 0, spread)  # a constant column has no likelihood
-    likelihood = -F.col("n") / 2.0 * F.ln(usable) + (F.col("exponent") - 1.0) * F.col("_jac")
+    scale = F.ln(usable) + 2.0 * F.col("exponent") * F.col("_level")
+    likelihood = -F.col("n") / 2.0 * scale + (F.col("exponent") - 1.0) * F.col("_jac")
     return stats.select("metric", "exponent", "n", likelihood.alias("log_likelihood"))
 
 

@@ -214,3 +214,41 @@ def test_search_space_size_and_draws():
     assert len(draws) == 20
     assert len({str(d) for d in draws}) == 20
     assert np.prod([len(v) for v in training.SEARCH_SPACE.values()]) == 8640
+
+
+def test_long_paths_are_explained():
+    """A path of 13 features: attributions add up, and the table and the per-batch way agree."""
+    rng = np.random.default_rng(3)
+
+    def chain(features):
+        node = Node(cover=1.0, value=2.5)
+        for f in reversed(range(features)):
+            node = Node(cover=node.cover * 2, feature=f, threshold=0.0, left=node, right=Node(node.cover, value=0.1 * f))
+        return node
+
+    x = rng.normal(size=(40, 13))
+    long = TreeEnsemble()
+    long.add(chain(13))
+    phi = long.attribute(x)
+    for row, parts in zip(x, phi, strict=True):
+        positive = np.flatnonzero(row > 0)
+        value = 0.1 * positive[0] if len(positive) else 2.5
+        assert long.base_value + parts.sum() == pytest.approx(value)
+    short = TreeEnsemble()
+    short.add(chain(4))
+    for leaf in short.leaves:
+        meets = (np.arange(2 ** len(leaf.features))[:, None] >> np.arange(len(leaf.features))) & 1
+        assert leaf.rows(meets).shape == meets.shape
+    assert short.attribute(x[:, :4]).shape == (40, 4)
+
+
+def test_power_exponents_have_no_fixed_range(spark):
+    """Narrow data far from zero: the best exponent lies far outside the first grid, and is a maximum."""
+    rng = np.random.default_rng(1)
+    x = 5.0 + np.exp(rng.normal(0, 0.5, 400)) * 1.2
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    best = power.fit_power(df, ["x"]).exponents["x"]
+    assert best < -4
+    around = [best - 0.5, best, best + 0.5]
+    curve = {r.exponent: r.log_likelihood for r in power.log_likelihoods(df, {"x": around}).collect()}
+    assert curve[best] >= max(curve[around[0]], curve[around[2]])

@@ -156,3 +156,17 @@ def test_metrics_without_positive_predictions(spark):
 def test_binned_curve_is_bounded(spark):
     df = spark.range(5000).select((F.col("id") % 2).alias("label"), (F.col("id") / 5000.0).alias("churn_prob"))
     assert evaluation.binned_curve(df, bins=50).count() <= 50
+
+
+def test_accounts_without_a_band_keep_their_row(spark):
+    rows = [(1, 5, 50.0, "Yes"), (2, 6, 51.0, "No"), (3, None, 50.0, "No"), (4, 5, None, "No")]
+    df = spark.createDataFrame(rows, "account_id long, tenure int, MonthlyCharges double, Churn string")
+    got = {r.account_id: [m["key"] for m in r.similar] for r in similar.similar_accounts(df).collect()}
+    assert got == {1: [2], 2: [1], 3: [], 4: []}
+
+
+def test_too_few_rows_to_balance_are_an_error(spark):
+    rows = [(i, [float(i)], int(i == 0)) for i in range(6)]
+    df = spark.createDataFrame(rows, "account_id long, features array<double>, label int")
+    with pytest.raises(ValueError, match="two minority rows"):
+        balance.synthetic_rows(df, "account_id", "features", "label")
