@@ -2,7 +2,7 @@
 sources are mixed to target weights, and the rest is packed into training sequences.
 
 Each stage takes (spark, docs, sf_dir) and calls one operator; its rows are written as Parquet and read again as
-the next stage's documents. All stages but the last return the columns of their documents.
+the next stage's documents; packing takes them in the order in which mixing wrote them. All stages but the last return the columns of their documents.
 
 Defined cases, in every stage: null texts count as empty and stay; extra columns are passed on; an empty
 table gives an empty table; repeated rows are separate documents, save that near-duplicate removal keeps one row
@@ -17,7 +17,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.llm import mixing, packing, personal_data, prefix_tree, toxicity
-from holdfast.llm.common import documents, prepare, settle, tokenizer_path
+from holdfast.llm.common import documents, prepare, settle, tokenizer_path, written_place
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -61,8 +61,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence."""
-    return packing.packed(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=False)
+    """Every piece of every document with its place in a sequence; sequences follow the order of the documents."""
+    placed = written_place(docs, "_place")
+    return packing.packed_in_order(placed, tokenizer_path("word_bpe_49k.json"), "_place")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,6 +47,24 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_place(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the place of each row in the order in which it was written.
+
+    For rows of a Parquet table that is the number of the part file, then the number of the row in it; Spark
+    names part files by the partition that wrote them. Other rows are in the order of their partitions.
+    """
+    try:
+        file = df.metadataColumn("_metadata")
+        kept = df.withColumn(name, file)
+    except AnalysisException:
+        return df.withColumn(name, F.monotonically_increasing_id())
+    at = F.col(name)
+    part = F.regexp_extract(at["file_name"], r"^part-(\d+)", 1)
+    nth = F.regexp_extract(at["file_name"], r"-c(\d+)\.", 1)  # a partition may write several files
+    numbers = [F.when(x == "", 0).otherwise(x.cast("long")) for x in (part, nth)]
+    return kept.withColumn(name, numbers[0] * (1 << 44) + numbers[1] * (1 << 32) + at["row_index"])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

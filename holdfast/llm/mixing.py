@@ -138,9 +138,13 @@ def mixed(
 
 
 def interleaved(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (a written table) with their own columns, in the order of the mix."""
+    """The rows of ``docs`` (a written table) with their own columns, in the order of the mix.
+
+    Written as Parquet, part files and the rows in them are in that order; ``common.written_place`` reads it back.
+    """
     placed = mixed(docs, **options)
-    return placed.repartitionByRange("slot").sortWithinPartitions("slot").select("row.*")
+    id_col = options.get("id_col", "doc_id")
+    return placed.repartitionByRange("slot").sortWithinPartitions("slot", F.col("row")[id_col]).select("row.*")
 
 
 def schedule(docs: DataFrame, id_col="doc_id", source_col="source", **options) -> DataFrame:

@@ -8,6 +8,10 @@ others fit, or if it is at least as long as the best two that do). What no set d
 fit, longest first, many equal pieces at a time. Pieces are then numbered within their length and look up
 their sequence and offset in the plan.
 
+Packed in order (``packed_in_order``), the pieces are dealt to windows of about ``WINDOW`` that follow each other
+in the order of the documents, and each window is an instance of its own, packed by one task: so a sequence holds
+pieces of one window, sequence ids follow the windows, and inside a window the places of pieces in it.
+
 Defined cases: null text is an empty document and still has its end id; equal rows get places of their
 own; an empty table gives no rows; other columns are not read.
 """
@@ -20,21 +24,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from holdfast.llm.common import numbered, settle, small_batches
+from holdfast.llm.common import numbered, range_part, settle, small_batches
 from holdfast.llm.tokens import BATCH, encoder
 
+#: Pieces that are packed at once where sequences follow the order of the documents.
+WINDOW = 1 << 17
+
 #: (lengths and how often each, in order of place) and the number of sequences filled so
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 
 def cut(
-    docs: DataFrame, path: str, capacity: int, end_id: int, id_col="doc_id", text_col="text", keep_ids=True
+    docs: DataFrame,
+    path: str,
+    capacity: int,
+    end_id: int,
+    id_col="doc_id",
+    text_col="text",
+    keep_ids=True,
+    place_col: str | None = None,
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of every piece; only longer documents are cut."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, piece, start, length, ids_crc32 (and ids, and place) of every piece; only longer documents are cut."""
+    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
+    rows = docs.select(*columns, *([] if place_col is None else [F.col(place_col).cast("long").alias("place")]))
     kind = rows.schema["doc_id"].dataType.simpleString()
     end = np.array([end_id], "<u4")
 
@@ -59,9 +76,13 @@ def cut(
             if keep_ids:
                 columns.append(pa.array(kept, pa.binary()))
                 names.append("ids")
+            if place_col is not None:
+                columns.append(batch.column(2).take(pa.array(at, pa.int64())))
+                names.append("place")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    schema += "" if place_col is None else ", place long"
     return rows.mapInArrow(pieces, schema)
 
 
@@ -242,6 +263,71 @@ def packed(
     return placed(pieces, capacity, ["doc_id", "piece", "start", "ids_crc32"])
 
 
+def _spread(patterns: list[Pattern]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(length, share, sequence, offset) of every place; the sequences of a pattern are spread evenly over 0 to 1."""
+    cells, sequence = [], 0
+    for pattern, times in patterns:
+        nth = np.arange(times)
+        offset = 0
+        for size, each in pattern:
+            offsets = np.tile(offset + np.arange(each) * size, times)
+            share = np.repeat((nth + 0.5) / times, each)
+            cells.append((np.full(times * each, size), share, np.repeat(sequence + nth, each), offsets))
+            offset += size * each
+        sequence += times
+    return tuple(np.concatenate(x) for x in zip(*cells, strict=True))
+
+
+def in_order(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of pieces given in their order; sequences are numbered in the order of what they hold.
+
+    Equal pieces go in order to places that are spread over the whole, so that the pieces of a sequence stand
+    near each other; a sequence stands at the mean place of its ids.
+    """
+    values, counts = np.unique(length, return_counts=True)
+    size, share, sequence, offset = _spread(plan(dict(zip(values.tolist(), counts.tolist(), strict=True)), capacity))
+    pieces = np.argsort(length, kind="stable")
+    places = np.lexsort((offset, sequence, share, size))
+    own, at = np.empty_like(sequence), np.empty_like(offset)
+    own[pieces], at[pieces] = sequence[places], offset[places]
+    mean = np.bincount(own, length * np.arange(len(length))) / np.bincount(own, length)
+    number = np.empty(len(mean), np.int64)
+    number[np.argsort(mean, kind="stable")] = np.arange(len(mean))
+    return number[own], at
+
+
+def packed_in_order(
+    docs: DataFrame,
+    path: str,
+    place_col: str,
+    capacity: int = 2048,
+    end_id: int = 0,
+    id_col="doc_id",
+    text_col="text",
+    window: int = WINDOW,
+) -> DataFrame:
+    """One row per piece with its sequence and offset; sequence ids follow the documents' order of ``place_col``."""
+    pieces = settle(cut(docs, path, capacity, end_id, id_col, text_col, False, place_col), "pieces")
+    names = [c for c in pieces.columns if c != "place"]
+    dealt = pieces.withColumn("_window", range_part(pieces, "place", pieces.count() // window + 1))
+    kinds = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in names)
+
+    def pack(table: pa.Table) -> pa.Table:
+        keys = ["place", "doc_id", "piece", "start", "ids_crc32"]
+        table = table.take(pa.compute.sort_indices(table, [(c, "ascending") for c in keys]))
+        sequence, offset = in_order(table["length"].to_numpy().astype(np.int64), capacity)
+        columns = [*[table[c] for c in names], table["_window"], pa.array(sequence), pa.array(offset)]
+        return pa.table(columns, [*names, "_window", "_sequence", "offset"])
+
+    schema = f"{kinds}, _window int, _sequence long, offset long"
+    rows = settle(dealt.groupBy("_window").applyInArrow(pack, schema), "windows")
+    sizes = rows.groupBy("_window").agg((F.max("_sequence") + 1).alias("_n"))
+    before = Window.orderBy("_window").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("_window", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    found = rows.join(F.broadcast(firsts), "_window")  # one row per window
+    return found.select(*names, (F.col("_first") + F.col("_sequence")).alias("sequence_id"), "offset")
+
+
 def sequences(pieces: DataFrame) -> DataFrame:
     """sequence_id and the ids of each packed sequence; a group holds at most one sequence."""
     cells = F.sort_array(F.collect_list(F.struct("offset", F.hex("ids").alias("ids"))))

@@ -6,8 +6,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from holdfast.llm import mixing, queries
+import corpus_pipeline
+from holdfast.llm import mixing, packing, queries
+from holdfast.llm.common import settle, tokenizer_path, written_place
 
 
 @settings(max_examples=100, deadline=None)
@@ -94,3 +97,51 @@ def test_mixing_edges(odd_docs, odd_rows, no_docs):
     assert mixing.interleaved(no_docs).count() == 0
     with pytest.raises(ValueError):
         mixing.mixed(odd_docs, parts=2)
+
+
+def test_weights_of_the_mix_reach_the_sequences(spark, sf_dir, small_docs, monkeypatch):
+    sources = sorted(small_docs["source"].unique())
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    plain, first = mixing.interleaved, {}
+    for heavy in (sources[0], sources[-1]):
+        weights = {s: 1000.0 if s == heavy else 1.0 for s in sources}
+        monkeypatch.setattr(mixing, "interleaved", lambda d, w=weights: plain(d, weights=w, block_docs=2))
+        rows = corpus_pipeline.run(spark, sf_dir).toPandas().merge(small_docs[["doc_id", "source"]])
+        assert set(rows["doc_id"]) == set(small_docs["doc_id"])
+        assert (rows.sort_values(["sequence_id", "offset"]).groupby("sequence_id")["length"].sum() <= 2048).all()
+        place = rows.groupby("source")["sequence_id"].mean()
+        assert place.idxmin() == heavy
+        first[heavy] = rows.set_index(["doc_id", "piece"])["sequence_id"].to_dict()
+    assert first[sources[0]] != first[sources[-1]]
+
+
+def test_written_order_comes_back(spark, odd_docs):
+    rows = settle(spark.range(3000).repartition(7).repartitionByRange(5, F.desc("id")).sortWithinPartitions(F.desc("id")), "order")
+    got = [r.id for r in written_place(rows, "at").orderBy("at").collect()]
+    assert got == list(range(2999, -1, -1))
+    made = spark.createDataFrame([(i,) for i in range(20)], "id long")
+    assert [r.id for r in written_place(made, "at").orderBy("at").collect()] == list(range(20))
+
+
+def test_windows_follow_each_other(spark, small_docs, sf_dir):
+    docs = written_place(spark.read.parquet(f"{sf_dir}/documents.parquet"), "at")
+    rows = packing.packed_in_order(docs, tokenizer_path("word_bpe_49k.json"), "at", window=100).toPandas()
+    at = {r.doc_id: r["at"] for r in docs.select("doc_id", "at").collect()}
+    rows["at"] = rows["doc_id"].map(at)
+    spans = rows.groupby("sequence_id")["at"].agg(["min", "max"]).sort_index()
+    assert list(spans.index) == list(range(len(spans)))
+    assert np.corrcoef(spans.index, spans["min"])[0, 1] > 0.95
+    assert sorted(rows["doc_id"].unique()) == sorted(small_docs["doc_id"])
+    for _, own in rows.sort_values("offset").groupby("sequence_id"):
+        assert (own["offset"].to_numpy()[1:] == own["length"].cumsum().to_numpy()[:-1]).all()
+        assert own["length"].sum() <= 2048
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=200))
+def test_pieces_in_order_fill_each_place_once(lengths):
+    length = np.array(lengths)
+    sequence, offset = packing.in_order(length, 30)
+    assert sorted(set(sequence)) == list(range(max(sequence) + 1))
+    taken = [(s, o + k) for s, o, n in zip(sequence, offset, lengths, strict=True) for k in range(n)]
+    assert len(set(taken)) == len(taken) and max(o for _, o in taken) < 30
