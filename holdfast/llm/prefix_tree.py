@@ -455,7 +455,8 @@ def _class_links(classes: DataFrame, clusters: DataFrame, percent: int, block: i
     member = classes.join(clusters, classes["doc_id"] == clusters["node"], "left").select(
         "doc_id", "n", F.coalesce("root", "doc_id").alias("cluster")
     )
-    sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    # repeated rows of an id are one member, here as in the blocks below
+    sizes = member.groupBy("cluster").agg(F.countDistinct("doc_id").alias("members"))
     member = settle(member.join(sizes.where("members > 1"), "cluster").distinct(), "clusters")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
     small = member.where(F.col("members") <= block)
@@ -472,8 +473,8 @@ def _class_links(classes: DataFrame, clusters: DataFrame, percent: int, block: i
         .select("cluster", "doc_id", "n", F.expr(f"number div {block}").cast("int").alias("block")),
         "blocks",
     )
-    # blocks are in order of size: first every block with itself and the next one
-    last = blocks.groupBy("cluster").agg(F.max("block").alias("last"))
+    # blocks are in order of size: first every block with itself and the next one, a single one with itself
+    last = blocks.groupBy("cluster").agg(F.greatest(F.max("block"), F.lit(1)).alias("last"))
     runs = F.filter(F.array(F.col("block") - 1, F.col("block")), lambda p: (p >= 0) & (p < F.col("last")))
     places = blocks.join(last, "cluster").select("cluster", "doc_id", F.explode(runs).alias("pair"))
     placed = classes.join(places.distinct(), "doc_id").withColumn("tie", F.col("doc_id"))

@@ -187,6 +187,23 @@ def test_groups_equal_brute_force(spark, block):
     assert sorted(map(tuple, got)) == brute_groups(rows)
 
 
+@pytest.mark.parametrize("times", [2, 3])
+def test_repeated_rows_of_a_cluster_with_few_ids(spark, times):
+    rng = random.Random(times)
+    words = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(6):  # six ids: more rows than a block, not more ids
+        own = list(words)
+        own[rng.randrange(70, 80)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    df = settle(spark.createDataFrame(rows * times, "doc_id long, text string"), "repeated")
+    want = brute_groups(rows)
+    assert {c for _, _, c in want} == {0}
+    got = prefix_tree.groups(df, block=6).collect()
+    assert sorted(map(tuple, got)) == sorted(want * times)
+    assert prefix_tree.representatives(df, block=6).count() == 1
+
+
 def test_groups_edges(spark, odd_docs, odd_rows, no_docs):
     got = prefix_tree.groups(odd_docs).collect()
     assert len(got) == len(odd_rows)
