@@ -63,7 +63,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence; sequences follow the order of the documents."""
     placed = written_place(docs, "_place")
-    return packing.packed_in_order(placed, tokenizer_path("word_bpe_49k.json"), "_place")
+    return packing.packed_in_order(placed, tokenizer_path("word_bpe_49k.json"), "_place", added=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

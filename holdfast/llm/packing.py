@@ -48,6 +48,7 @@ def cut(
     text_col="text",
     keep_ids=True,
     place_col: str | None = None,
+    added: bool = False,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, and place) of every piece; only longer documents are cut."""
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
@@ -56,7 +57,7 @@ def cut(
     end = np.array([end_id], "<u4")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path)
+        words = encoder(path, added)
         for batch in small_batches(batches, most_bytes=BATCH):
             at, number, start, length, crc, kept = [], [], [], [], [], []
             flat, counts = words.encode_all(batch.column(1).to_pylist())
@@ -256,10 +257,17 @@ def placed(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
 
 
 def packed(
-    docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col="doc_id", text_col="text", keep_ids=True
+    docs: DataFrame,
+    path: str,
+    capacity: int = 2048,
+    end_id: int = 0,
+    id_col="doc_id",
+    text_col="text",
+    keep_ids=True,
+    added: bool = False,
 ) -> DataFrame:
     """One row per piece with its sequence and offset; texts are read and tokenized once."""
-    pieces = settle(cut(docs, path, capacity, end_id, id_col, text_col, keep_ids), "pieces")
+    pieces = settle(cut(docs, path, capacity, end_id, id_col, text_col, keep_ids, added=added), "pieces")
     return placed(pieces, capacity, ["doc_id", "piece", "start", "ids_crc32"])
 
 
@@ -305,9 +313,10 @@ def packed_in_order(
     id_col="doc_id",
     text_col="text",
     window: int = WINDOW,
+    added: bool = False,
 ) -> DataFrame:
     """One row per piece with its sequence and offset; sequence ids follow the documents' order of ``place_col``."""
-    pieces = settle(cut(docs, path, capacity, end_id, id_col, text_col, False, place_col), "pieces")
+    pieces = settle(cut(docs, path, capacity, end_id, id_col, text_col, False, place_col, added), "pieces")
     names = [c for c in pieces.columns if c != "place"]
     dealt = pieces.withColumn("_window", range_part(pieces, "place", pieces.count() // window + 1))
     kinds = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in names)

@@ -30,7 +30,7 @@ def query(fn: Query) -> Query:
 @query
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written, read back and digested."""
-    files = token_files.write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    files = token_files.write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2, added=True)
     return token_files.digests(spark, files)
 
 
@@ -86,7 +86,7 @@ def op8_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
     docs = documents(spark, sf_dir)
-    return packing.packed(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=False)
+    return packing.packed(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=False, added=True)
 
 
 @query

@@ -55,12 +55,14 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return values
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized(
+    docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", added: bool = False
+) -> DataFrame:
     """doc_id and the ids of each whole text with ``end_id``, as little-endian bytes of the encoder's width."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path)
+        words = encoder(path, added)
         end = np.array([end_id], words.dtype).tobytes()
         for batch in small_batches(batches, most_bytes=BATCH):
             flat, counts = words.encode_all(batch.column(1).to_pylist())
@@ -100,8 +102,10 @@ class TokenFiles:
     schema: str
 
 
-def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
-    """Tokenize, rank and write; the texts are read and tokenized once.
+def write(
+    docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", added: bool = False
+) -> TokenFiles:
+    """Tokenize, rank and write; the texts are read and tokenized once. ``added``: as in ``WordEncoder``.
 
     The rank table has at most one row per vocabulary entry, which bounds what the driver collects and
     what each task gets.
@@ -109,7 +113,7 @@ def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     dtype = encoder(path).dtype
     raw = shared_folder(spark, "token-ids")
-    tokenized(docs, path, end_id, id_col, text_col).write.option("compression", "zstd").parquet(raw)
+    tokenized(docs, path, end_id, id_col, text_col, added).write.option("compression", "zstd").parquet(raw)
     tokens = spark.read.parquet(raw)
     counts = frequencies(tokens, dtype).toPandas().sort_values(["n", "id"], ascending=[False, True])
     by_rank = counts["id"].to_numpy(np.int64)

@@ -8,6 +8,7 @@ hashes the words of a batch; the tokenizer encodes each new word once per worker
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -58,12 +59,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class WordEncoder:
     """Ids equal to the tokenizer's ``encode(text, add_special_tokens=False).ids``.
 
-    Strings of special tokens in a text are ordinary text. Byte-level vocabularies without a normalizer
-    keep white space, which goes with the word after it; the others drop it.
+    With ``added`` a text is cut at the strings of the file's added tokens, each of which is one id, as in the
+    library; without it these are ordinary text (``encode_special_tokens``). Byte-level vocabularies without a
+    normalizer keep white space, which goes with the word after it; the others drop it.
     """
 
-    def __init__(self, path: str, most_words: int = MOST_WORDS):
+    def __init__(self, path: str, most_words: int = MOST_WORDS, added: bool = False):
         tokenizer = Tokenizer.from_file(path)
+        tokens = tokenizer.get_added_tokens_decoder() if added else {}
+        self._added = {t.content: i for i, t in tokens.items()}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
+        # tokens that take in white space or are looked for in normal form are left to the library
+        odd = any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in tokens.values())
+        self._library = Tokenizer.from_file(path) if odd else None
         tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self._normal, self._pieces, self._model = tokenizer.normalizer, tokenizer.pre_tokenizer, tokenizer.model
@@ -84,6 +92,28 @@ class WordEncoder:
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each); null counts as empty."""
+        if self._library is not None:
+            found = [e.ids for e in self._library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter((i for ids in found for i in ids), self.dtype, int(counts.sum())), counts
+        if not any(token in t for t in texts if t for token in self._added):
+            return self._encode_plain(texts)
+        segments: list[str] = []
+        ends: list[int] = []  # id of the token after each segment; -1 after the last of a text
+        firsts: list[int] = []
+        for t in texts:
+            parts = self._cut.split(t or "")
+            firsts.append(len(segments))
+            segments += parts[::2]
+            ends += [*[self._added[x] for x in parts[1::2]], -1]
+        ids, counts = self._encode_plain(segments)
+        marked = np.flatnonzero(np.array(ends) >= 0)
+        ids = np.insert(ids, np.cumsum(counts)[marked], np.array(ends)[marked].astype(self.dtype))
+        counts[marked] += 1
+        return ids, np.add.reduceat(counts, firsts)
+
+    def _encode_plain(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_all`` of texts without added tokens."""
         raw = [(t or "").encode() for t in texts]
         joined = b"".join(raw)
         data = np.frombuffer(joined, np.uint8)
@@ -175,6 +205,6 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, added: bool = False) -> WordEncoder:
     """One encoder per worker process and vocabulary."""
-    return WordEncoder(path)
+    return WordEncoder(path, added=added)

@@ -36,6 +36,35 @@ def test_ids_equal_the_library(name, small_docs):
             assert own.tolist() == want(text), text
 
 
+def unmodified(name):
+    tokenizer = Tokenizer.from_file(tokenizer_path(name))
+    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_ids_equal_the_unmodified_library(name):
+    rng = random.Random(9)
+    units = [*LETTERS, *["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"] * 9, "<|", "Σ<|endoftext|>", "  <|endoftext|>\n"]
+    texts = [None, "", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a<|startoftext|> b"]
+    texts += ["".join(rng.choice(units) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    want = unmodified(name)
+    encoder = WordEncoder(tokenizer_path(name), most_words=500, added=True)
+    for k in range(0, len(texts), 111):
+        ids, counts = encoder.encode_all(texts[k : k + 111])
+        for text, own in zip(texts[k : k + 111], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert own.tolist() == want(text), text
+
+
+def test_queries_take_added_tokens_as_one_id(spark, tmp_path):
+    texts = ["one <|endoftext|> two", "<|startoftext|>three<|endoftext|>", None, "four"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for op, name, end in (("op1_token_files", FILES[0], 2), ("op9_best_fit_packing", FILES[1], 0)):
+        encode = unmodified(name)
+        got = {r.doc_id: r.ids_crc32 for r in queries.QUERIES[op](spark, str(tmp_path)).collect()}
+        assert got == {i: crc([*encode(t), end]) for i, t in enumerate(texts)}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=60))
 def test_packed_values_come_back(values):
