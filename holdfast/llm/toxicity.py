@@ -8,8 +8,10 @@ gradient from forward-backward. Applied to whole texts, forward-backward runs ov
 scan of 2 x 2 matrices. A document's score is the noisy-or of its tokens' marginals of at least
 ``FLOOR`` (their greatest if none is), its offsets are the runs of tokens with a marginal of one half or more.
 
-The fit takes at most ``fit_toxic`` and ``fit_clean`` labelled rows, chosen by a hash of their id, of texts up to
-``fit_chars`` code points; everything else covers all rows and whole texts.
+The fit takes at most ``fit_toxic`` and ``fit_clean`` labelled rows that are there, of any length, chosen by a hash
+of their id. Of a text with more than ``fit_segments`` segments of ``SEGMENT`` tokens it takes so many, evenly spread
+from its first to its last and cut in the executors; so the driver's memory follows these bounds. Everything
+else covers all rows and whole texts.
 
 Defined cases: null and empty texts score 0; a row without an id is scored but not learned from; of several
 labels for one id the greatest counts; without toxic or without clean rows to learn from all scores
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import small_batches
+from holdfast.llm.common import settle, small_batches
 
 TOKEN = re.compile(r"\w+")
 STARTS = (4, 5, 6)
@@ -43,32 +45,57 @@ def _types(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in STARTS if len(word) > k]]
 
 
+#: Token lists of a text; tokens of different lists do not stand side by side.
+Runs = list[list[str]]
+
+
+def spread(tokens: list[str], most: int) -> Runs:
+    """All tokens as one run; of more than ``most`` segments so many, evenly spread, with neighbours as one run."""
+    count = -(-len(tokens) // SEGMENT)
+    if count <= most:
+        return [tokens]
+    kept = np.unique(np.linspace(0, count - 1, most).round().astype(np.int64))
+    ends = np.append(np.flatnonzero(np.diff(kept) > 1), len(kept) - 1)
+    firsts = np.concatenate([[0], ends[:-1] + 1])
+    return [tokens[kept[i] * SEGMENT : (kept[j] + 1) * SEGMENT] for i, j in zip(firsts, ends, strict=True)]
+
+
 def learning_rows(
     docs: DataFrame,
     labels: DataFrame,
     fit_toxic: int,
     fit_clean: int,
-    fit_chars: int,
+    fit_segments: int,
     learn: F.Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-) -> tuple[list[str], np.ndarray]:
-    """Texts and labels to learn from. The chosen labels are bounded by the parameters and so broadcast."""
+) -> tuple[list[Runs], np.ndarray]:
+    """Tokens and labels to learn from. The chosen labels are bounded by the parameters and so broadcast."""
+    bounds = ((1, fit_toxic), (0, fit_clean))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     one = one.where(learn).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # only labels of documents that have a text to learn from are drawn
+    one = one.join(rows.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi")
     lot = F.xxhash64("doc_id", F.lit("toxicity"))
-    parts = [
-        one.where(F.col("toxic") == k).orderBy(lot, "doc_id").limit(n) for k, n in ((1, fit_toxic), (0, fit_clean))
-    ]
+    parts = [one.where(F.col("toxic") == k).orderBy(lot, "doc_id").limit(n) for k, n in bounds]
     chosen = parts[0].unionByName(parts[1]).withColumnRenamed("doc_id", "_label_id")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.where(F.length("text") <= fit_chars).join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id"))
-    found = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(fit_toxic + fit_clean).select("text", "toxic")
-    pdf = found.toPandas()
-    return pdf["text"].tolist(), pdf["toxic"].to_numpy(np.int64)
+    found = rows.where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, most_bytes=4 << 20):
+            runs = [spread(TOKEN.findall(t.lower()), fit_segments) for t in batch.column(0).to_pylist()]
+            text = pa.array(["\n".join(" ".join(r) for r in own) for own in runs], pa.string())
+            yield pa.RecordBatch.from_arrays([text, *batch.columns[1:]], ["runs", "toxic", "lot"])
+
+    found = found.select("text", "toxic", F.xxhash64("doc_id", "text").alias("lot"))
+    short = settle(found.mapInArrow(cut, "runs string, toxic int, lot long"), "toxicity-rows")
+    pdfs = [short.where(F.col("toxic") == k).orderBy("lot", "runs").limit(n).toPandas() for k, n in bounds]
+    words = [[r.split() for r in text.split("\n")] for pdf in pdfs for text in pdf["runs"]]
+    return words, np.repeat([1, 0], [len(pdf) for pdf in pdfs])
 
 
-def toxic_types(words: list[list[str]], toxic: np.ndarray) -> set[str]:
+def toxic_types(words: list[Runs], toxic: np.ndarray) -> set[str]:
     """Types whose distinct neighbourhoods lie in toxic texts too often for chance.
 
     A word start counts as a type of its own only if it is the start of several such words' worth of text:
@@ -76,12 +103,13 @@ def toxic_types(words: list[list[str]], toxic: np.ndarray) -> set[str]:
     """
     counts: dict[str, int] = defaultdict(int)
     sizes = [0, 0]
-    for tokens, label in zip(words, toxic, strict=True):
-        sizes[label] += len(tokens)
+    for runs, label in zip(words, toxic, strict=True):
+        sizes[label] += sum(map(len, runs))
         if label:
-            for word in tokens:
-                for t in _types(word):
-                    counts[t] += 1
+            for tokens in runs:
+                for word in tokens:
+                    for t in _types(word):
+                        counts[t] += 1
     if not sizes[0] or not sizes[1]:
         return set()
     share = sizes[1] / (sizes[0] + sizes[1])
@@ -92,19 +120,20 @@ def toxic_types(words: list[list[str]], toxic: np.ndarray) -> set[str]:
     around: tuple[dict, dict] = defaultdict(set), defaultdict(set)
     texts: dict[str, int] = defaultdict(int)
     under: dict[str, set[str]] = defaultdict(set)
-    for tokens, label in zip(words, toxic, strict=True):
+    for runs, label in zip(words, toxic, strict=True):
         seen = set()
-        for k, word in enumerate(tokens):
-            near = None
-            for t in _types(word):
-                if t in counts:
-                    near = near or hash((tokens[k - 1] if k else "", tokens[k + 1] if k + 1 < len(tokens) else ""))
-                    around[label][t].add(near)
-                    seen.add(t)
+        for tokens in runs:
+            for k, word in enumerate(tokens):
+                near = None
+                for t in _types(word):
+                    if t in counts:
+                        near = near or hash((tokens[k - 1] if k else "", tokens[k + 1] if k + 1 < len(tokens) else ""))
+                        around[label][t].add(near)
+                        seen.add(t)
         if label:
             for t in seen:
                 texts[t] += 1
-            for word in set(tokens):
+            for word in set().union(*runs):
                 for t in _types(word)[1:]:
                     if t in counts:
                         under[t].add(word)
@@ -112,7 +141,8 @@ def toxic_types(words: list[list[str]], toxic: np.ndarray) -> set[str]:
     for t, near in around[1].items():
         yes, no = len(near), len(around[0].get(t, ()))
         part = yes / (yes + no)
-        if part <= 0.9 or 2 * yes < texts[t]:
+        # long toxic texts among short clean ones make any type's part large
+        if part <= max(0.9, share) or 2 * yes < texts[t]:
             continue
         own = under.get(t)
         if own is not None and (len(own) < 3 or 2 * max(len(around[1].get(w, ())) for w in own) > yes):
@@ -201,23 +231,31 @@ def chain(emit: np.ndarray, first: np.ndarray, start: np.ndarray, moves: np.ndar
     return p.T.ravel()[:n]
 
 
-def fit(texts: list[str], toxic: np.ndarray, segments: int = 6_000, steps: int = 40) -> Field:
+def fit(texts: list[str], toxic: np.ndarray, segments: int = 12_000, steps: int = 40) -> Field:
     """A field for labelled texts; with only one label present, one that finds nothing."""
+    return fit_runs([[TOKEN.findall((t or "").lower())] for t in texts], toxic, segments, steps)
+
+
+def fit_runs(words: list[Runs], toxic: np.ndarray, segments: int = 12_000, steps: int = 40) -> Field:
+    """``fit`` on the tokens of labelled texts."""
     same: dict[str, str] = {}
-    words = [[same.setdefault(w, w) for w in TOKEN.findall((t or "").lower())] for t in texts]
+    words = [[[same.setdefault(w, w) for w in tokens] for tokens in runs] for runs in words]
     marks = toxic_types(words, toxic)
     if not marks:
         return Field({}, 0.0, np.zeros(2), np.zeros((2, 2)))
     counts: dict[str, int] = defaultdict(int)
     pieces = []  # (has toxic tokens, words, marks)
-    for tokens, label in zip(words, toxic, strict=True):
-        for k in range(0, len(tokens), SEGMENT):
-            part = tokens[k : k + SEGMENT]
-            y = [bool(label) and any(t in marks for t in _types(w)) for w in part]
-            pieces.append((any(y), part, y))
-    spare = [p for p in pieces if not p[0]]
-    keep = np.random.default_rng(0).permutation(len(spare))[:segments]
-    pieces = [p for p in pieces if p[0]][:segments] + [spare[i] for i in keep]
+    for runs, label in zip(words, toxic, strict=True):
+        for tokens in runs:
+            for k in range(0, len(tokens), SEGMENT):
+                part = tokens[k : k + SEGMENT]
+                y = [bool(label) and any(t in marks for t in _types(w)) for w in part]
+                pieces.append((any(y), part, y))
+    # segments of all rows, with and without toxic tokens, have the same chance
+    lots = np.random.default_rng(0)
+    spare, marked = [p for p in pieces if not p[0]], [p for p in pieces if p[0]]
+    keep = lots.permutation(len(spare))[:segments]
+    pieces = [marked[i] for i in np.sort(lots.permutation(len(marked))[:segments])] + [spare[i] for i in keep]
     for _, part, _ in pieces:
         for w in part:
             for t in _types(w):
@@ -361,11 +399,10 @@ def learned(
     docs: DataFrame,
     labels: DataFrame,
     learn: F.Column | None = None,
-    fit_toxic: int = 1200,
-    fit_clean: int = 2400,
-    fit_chars: int = 10_000,
+    fit_toxic: int = 2000,
+    fit_clean: int = 4000,
+    fit_segments: int = 72,
 ) -> Field:
     """A field fitted to the labelled rows that ``learn`` (a condition on ``doc_id``) admits."""
     admitted = F.lit(True) if learn is None else learn
-    texts, toxic = learning_rows(docs, labels, fit_toxic, fit_clean, fit_chars, admitted)
-    return fit(texts, toxic)
+    return fit_runs(*learning_rows(docs, labels, fit_toxic, fit_clean, fit_segments, admitted))

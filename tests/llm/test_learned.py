@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.llm import language, personal_data, queries, toxicity
+from holdfast.llm.common import settle
 from holdfast.llm.common import held_out
 
 
@@ -118,6 +119,33 @@ def test_toxicity_edges(spark, odd_docs, odd_rows, no_docs):
     assert toxicity.scored(no_docs, field).count() == 0 and toxicity.accepted(no_docs, field).count() == 0
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    """All toxic rows are long, and most labels have no document."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(80):
+        words = [f"plain{k}" for k in rng.integers(0, 300, 6000 if i % 2 else 60)]
+        if i % 2:
+            for at in range(0, len(words), 25):
+                words[at] = "badword"
+        rows.append((i, " ".join(words)))
+    docs = settle(spark.createDataFrame(rows, "doc_id long, text string"), "long-toxic")
+    labels = [(i, i % 2) for i in range(80)] + [(i, i % 2) for i in range(1000, 9000)]
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    field = toxicity.learned(docs, labels, fit_toxic=40, fit_clean=40)
+    assert {r.doc_id for r in toxicity.scored(docs, field).collect() if r.predicted} == set(range(1, 80, 2))
+    assert toxicity.accepted(docs, field).count() == 40
+
+
+def test_segments_are_spread_over_the_whole_text():
+    tokens = [str(i) for i in range(toxicity.SEGMENT * 100 + 5)]
+    assert toxicity.spread(tokens, 101) == [tokens] and toxicity.spread([], 3) == [[]]
+    runs = toxicity.spread(tokens, 10)
+    assert runs[0][0] == "0" and runs[-1] == tokens[-5:]
+    assert len(runs) == 10 and all(len(r) == toxicity.SEGMENT for r in runs[:-1])
+    assert sum(map(len, toxicity.spread(tokens, 90))) == toxicity.SEGMENT * 89 + 5
+
+
 def test_toxicity_without_labels(spark, odd_docs):
     schema = "doc_id long, quality int, toxic int"
     for rows in ([], [(1, 1, None), (None, 1, 1)], [(0, 1, 0)], [(0, 1, 1), (0, 1, 0)]):
