@@ -158,5 +158,4 @@ def segmentation_fit(spark, sf_dir):
 
 @query("choose_k")
 def choose_k(spark, sf_dir):
-    # Two starts per k: the k-means|| start is far less seed-dependent than single draws.
-    return segmentation.choose_k(scored_accounts(spark, sf_dir), n_init=2)
+    return segmentation.choose_k(scored_accounts(spark, sf_dir))

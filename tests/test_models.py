@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from holdfast import schema as S
+from holdfast.catalog import load
 from holdfast.operators import clustering, encoding, power, sampling, segments, survival
 from holdfast.operators.treeshap import Node, TreeEnsemble
 from holdfast.plans import explain, segmentation, training
@@ -209,6 +210,36 @@ def test_random_search(spark, parts):
     assert model.stages[-1].getNumTrees == 2
 
 
+def test_registered_models_run_the_library_defaults(spark, sf_dir, monkeypatch):
+    """What each registered query passes on, beyond its rows; nothing is fitted."""
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def note(name):
+        def call(*rows, **options):
+            asked.append((name, rows, options))
+            raise Asked
+
+        return call
+
+    for name in ("compare_baselines", "random_search", "boosted_trees"):
+        monkeypatch.setattr(training, name, note(name))
+    monkeypatch.setattr(segmentation, "choose_k", note("choose_k"))
+    queries = load()[0]
+    for name in ("model_search", "model_forest", "tree_segment_drivers", "tree_local_accuracy", "choose_k"):
+        with pytest.raises(Asked):
+            queries[name](spark, sf_dir)
+    assert [(name, len(rows), options) for name, rows, options in asked] == [
+        ("random_search", 1, {}),
+        ("compare_baselines", 2, {"only": ["Random Forest"]}),
+        ("boosted_trees", 0, {}),
+        ("boosted_trees", 0, {}),
+        ("choose_k", 1, {}),
+    ]
+
+
 def test_search_space_size_and_draws():
     draws = training.draw_settings(training.SEARCH_SPACE, 20)
     assert len(draws) == 20
