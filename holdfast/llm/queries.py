@@ -8,7 +8,19 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bitsliced, language, mixing, packing, personal_data, prefix_tree, quality, token_files, toxicity, viterbi
+from holdfast.llm import (
+    bitsliced,
+    byte_bpe,
+    language,
+    mixing,
+    packing,
+    personal_data,
+    prefix_tree,
+    quality,
+    token_files,
+    toxicity,
+    viterbi,
+)
 from holdfast.llm.common import documents, held_out, prepare, tokenizer_path
 from holdfast.llm.oracles import ORACLES  # noqa: F401
 
@@ -102,3 +114,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@query
+def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text by a serialised BPE model, and the bytes decoded from them, as digests."""
+    path = byte_bpe.ranks_path()
+    return byte_bpe.digests(byte_bpe.decoded(byte_bpe.encoded(documents(spark, sf_dir), path), path))
