@@ -80,3 +80,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     AND repeat_rate <= f.repeat_most AND word_length <= f.length_most AND word_length >= f.length_least AS kept
 FROM judged
 """
+
+ORACLES["op12_source_divergence"] = """
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+words AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+held AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS df FROM words GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM held GROUP BY ALL HAVING sum(df) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+full_counts AS (SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n, k.n AS lang_n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+totals AS (SELECT lang, source, sum(n) AS total FROM full_counts GROUP BY ALL),
+shares AS (SELECT c.lang, c.source, c.term, c.n,
+    (1 + (1000000000::HUGEINT * (c.n + 2)::HUGEINT) // (t.total + 2 * l.v)::HUGEINT)::BIGINT AS p,
+    (1 + (1000000000::HUGEINT * (c.lang_n + 2)::HUGEINT) // (l.total + 2 * l.v)::HUGEINT)::BIGINT AS q
+  FROM full_counts c JOIN totals t USING (lang, source) JOIN langs l USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+over_used AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM over_used))
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from holdfast.llm import (
     bitsliced,
     byte_bpe,
+    divergence,
     language,
     mixing,
     packing,
@@ -121,3 +122,9 @@ def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text by a serialised BPE model, and the bytes decoded from them, as digests."""
     path = byte_bpe.ranks_path()
     return byte_bpe.digests(byte_bpe.decoded(byte_bpe.encoded(documents(spark, sf_dir), path), path))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference of every two sources of a language, and the terms each source uses more than its language."""
+    return divergence.audited(documents(spark, sf_dir))
