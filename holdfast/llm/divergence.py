@@ -18,7 +18,7 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +30,8 @@ from pyspark.sql.window import Window
 
 from holdfast.llm.common import settle, small_batches
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: UTF-8 bytes to those of terms: capital letters become small, other bytes below 128 a blank.
+_TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 SCALE = 1_000_000_000
 #: Sources and terms of one matrix of shares.
@@ -39,10 +39,14 @@ BLOCK = 128
 TERMS = 500
 #: Entries a task holds before it hands them on.
 MOST_ENTRIES = 300_000
+#: A term's documents stand above this many binary digits of its occurrences.
+_SHIFT = 64
+_LOW = (1 << _SHIFT) - 1
 
 
-def terms_of(text: str) -> list[str]:
-    return TERM.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
+def terms_of(text: str) -> list[bytes]:
+    """Runs of letters A to Z, made small, and of characters beyond ASCII, as UTF-8."""
+    return text.encode().translate(_TERM_BYTES).split()
 
 
 def difference(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -69,40 +73,43 @@ def collapsed(docs: DataFrame) -> DataFrame:
 
 def term_counts(texts: DataFrame) -> DataFrame:
     """(lang, source, term, n, df): occurrences and documents, from the rows of ``collapsed``."""
+    names = ["lang", "source", "term", "n", "df"]
+
+    def rows(found: dict) -> pa.RecordBatch:
+        langs, sources, sizes, terms, counts = [], [], [], [], []
+        for (lang, source), own in found.items():
+            langs.append(lang)
+            sources.append(source)
+            sizes.append(len(own))
+            terms += own.keys()
+            counts += own.values()
+        n = pa.array([c & _LOW for c in counts], pa.int64())
+        df = pa.array([c >> _SHIFT for c in counts], pa.int64())
+        owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        groups = [pa.array(x, pa.string()).take(owner) for x in (langs, sources)]
+        return pa.RecordBatch.from_arrays([*groups, pa.array(terms, pa.binary()).cast(pa.string()), n, df], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[str, str], dict[str, list[int]]] = {}
+        found: dict[tuple[str, str], dict[bytes, int]] = {}
         held = 0
-
-        def rows() -> pa.RecordBatch:
-            flat = [(g[0], g[1], t, c[0], c[1]) for g, own in found.items() for t, c in own.items()]
-            columns = list(zip(*flat, strict=True)) or [()] * 5
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, ["lang", "source", "term", "n", "df"])
-
-        terms: dict[str, int] = {}
+        terms: list[tuple[bytes, int]] = []
         for batch in small_batches(batches, most_bytes=4 << 20):
             columns = [batch.column(batch.schema.get_field_index(c)) for c in ("lang", "source", "n", "text")]
             for lang, source, n, text in zip(*[c.to_pylist() for c in columns], strict=True):
                 if text is not None:
-                    terms = {}
-                    for t in terms_of(text):
-                        terms[t] = terms.get(t, 0) + 1
+                    # occurrences and, in the digits above, the document itself
+                    terms = [(t, c + (1 << _SHIFT)) for t, c in Counter(terms_of(text)).items()]
                 own = found.setdefault((lang, source), {})
                 held -= len(own)
-                for t, c in terms.items():
-                    old = own.get(t)
-                    if old is None:
-                        own[t] = [c * n, n]
-                    else:
-                        old[0] += c * n
-                        old[1] += n
+                get = own.get
+                for t, c in terms:
+                    own[t] = get(t, 0) + c * n
                 held += len(own)
                 if held > MOST_ENTRIES:
-                    yield rows()
+                    yield rows(found)
                     found, held = {}, 0
-        yield rows()
+        if found:
+            yield rows(found)
 
     parts = texts.mapInArrow(count, "lang string, source string, term string, n long, df long")
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
