@@ -108,3 +108,30 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
   FROM (SELECT * FROM pairs UNION ALL SELECT * FROM over_used))
 SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+# crc32 of a decimal number: each byte goes in before the first of its eight steps
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+    string_split(conv_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda s, b: xor(xor(s, b) >> 1, 3988292384 * (xor(s, b) & 1))))"""
+
+ORACLES["op13_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id::BIGINT AS conv_id, turn, coalesce(text, '') AS text,
+    sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS tid
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'tid': tid, 'w': len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))}}
+    ORDER BY turn NULLS FIRST, tid) AS x FROM t GROUP BY conv_id),
+h AS (SELECT *, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM own),
+whole AS (SELECT h.conv_id, list_concat(coalesce(b.x, [])[1:h.h], h.x[h.h + 1:]) AS x FROM h LEFT JOIN own b ON b.conv_id = h.base),
+place AS (SELECT conv_id, x, unnest(range(0, len(x) + 1)) AS depth FROM whole),
+prefix AS (SELECT conv_id, depth, len(x) = depth AS ended, CASE WHEN depth > 0 THEN x[depth].w ELSE 0 END AS w,
+    list_transform(x[1:depth], lambda e: e.tid) AS p FROM place),
+node AS (SELECT p, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends FROM prefix GROUP BY p),
+child AS (SELECT p[1:depth - 1] AS p, count(*) AS children FROM node WHERE depth > 0 GROUP BY 1),
+sized AS (SELECT node.*, coalesce(children, 0) AS children FROM node LEFT JOIN child USING (p)),
+sums AS (SELECT a.p, count(*) FILTER (b.children = 0) AS leaves, sum((b.n - 1) * b.w) AS saved
+  FROM sized a JOIN (SELECT *, unnest(range(0, depth + 1)) AS up FROM sized) b ON a.depth = b.up AND a.p = b.p[1:b.up] GROUP BY a.p)
+SELECT s.conv_id, s.depth, u.conv_id AS parent_conv_id, s.n AS n_convs, s.children AS n_children, leaves AS n_leaves,
+  saved::BIGINT AS saved_tokens, s.ends AS ends_sha256
+FROM sized s JOIN sums USING (p) LEFT JOIN node u ON s.depth > 0 AND u.p = s.p[1:s.depth - 1]
+"""

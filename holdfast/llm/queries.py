@@ -17,6 +17,7 @@ from holdfast.llm import (
     packing,
     personal_data,
     prefix_tree,
+    prefix_trie,
     quality,
     token_files,
     toxicity,
@@ -128,3 +129,9 @@ def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of every two sources of a language, and the terms each source uses more than its language."""
     return divergence.audited(documents(spark, sf_dir))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return prefix_trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
