@@ -10,8 +10,9 @@ scan of 2 x 2 matrices. A document's score is the noisy-or of its tokens' margin
 
 The fit takes at most ``fit_toxic`` and ``fit_clean`` labelled rows that are there, of any length, chosen by a hash
 of their id. Of a text with more than ``fit_segments`` segments of ``SEGMENT`` tokens it takes so many, evenly spread
-from its first to its last and cut in the executors; so the driver's memory follows these bounds. Everything
-else covers all rows and whole texts.
+from its first to its last and cut in the executors, where types and neighbourhoods are counted too; the driver gets
+the types that pass and at most ``segments`` segments with and as many without marked tokens. Everything else covers
+all rows and whole texts.
 
 Defined cases: null and empty texts score 0; a row without an id is scored but not learned from; of several
 labels for one id the greatest counts; without toxic or without clean rows to learn from all scores
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import settle, small_batches
+from holdfast.llm.common import drawn, settle, small_batches
 
 TOKEN = re.compile(r"\w+")
 STARTS = (4, 5, 6)
@@ -69,8 +70,11 @@ def learning_rows(
     learn: F.Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-) -> tuple[list[Runs], np.ndarray]:
-    """Tokens and labels to learn from. The chosen labels are bounded by the parameters and so broadcast."""
+) -> DataFrame:
+    """(lot, toxic, runs): tokens and label of the rows to learn from, written to the shared folder.
+
+    The chosen labels are bounded by the parameters and so broadcast.
+    """
     bounds = ((1, fit_toxic), (0, fit_clean))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -85,14 +89,83 @@ def learning_rows(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, most_bytes=4 << 20):
             runs = [spread(TOKEN.findall(t.lower()), fit_segments) for t in batch.column(0).to_pylist()]
-            text = pa.array(["\n".join(" ".join(r) for r in own) for own in runs], pa.string())
-            yield pa.RecordBatch.from_arrays([text, *batch.columns[1:]], ["runs", "toxic", "lot"])
+            column = pa.array(runs, pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([column, *batch.columns[1:]], ["runs", "toxic", "lot"])
 
     found = found.select("text", "toxic", F.xxhash64("doc_id", "text").alias("lot"))
-    short = settle(found.mapInArrow(cut, "runs string, toxic int, lot long"), "toxicity-rows")
-    pdfs = [short.where(F.col("toxic") == k).orderBy("lot", "runs").limit(n).toPandas() for k, n in bounds]
-    words = [[r.split() for r in text.split("\n")] for pdf in pdfs for text in pdf["runs"]]
-    return words, np.repeat([1, 0], [len(pdf) for pdf in pdfs])
+    cuts = settle(found.mapInArrow(cut, "runs array<array<string>>, toxic int, lot long"), "toxicity-cuts")
+    # the rows of an id may be many, equal ones among them; of equal rows one is learned from
+    lots = cuts.select("toxic", "lot").distinct()
+    lots = [drawn(lots.where(F.col("toxic") == k), "lot", n) for k, n in bounds]
+    few = F.broadcast(lots[0].unionByName(lots[1]))
+    return settle(cuts.join(few, ["toxic", "lot"]).dropDuplicates(["toxic", "lot"]), "toxicity-rows")
+
+
+def marked_types(rows: DataFrame) -> set[str]:
+    """``toxic_types`` of the rows to learn from: all counting is done by aggregates, and only types that pass leave them."""
+    sizes = rows.groupBy("toxic").agg(F.sum(F.aggregate("runs", F.lit(0), lambda n, r: n + F.size(r))).alias("n"))
+    sizes = {r.toxic: r.n or 0 for r in sizes.collect()}
+    if not sizes.get(0) or not sizes.get(1):
+        return set()
+    share = sizes[1] / (sizes[0] + sizes[1])
+
+    def around(word, k):
+        left, right = (F.coalesce(F.get("run", k + step), F.lit("")) for step in (-1, 1))
+        return F.struct(word.alias("word"), F.xxhash64(left, right).alias("near"))
+
+    tokens = rows.select("lot", "toxic", F.explode("runs").alias("run"))
+    tokens = tokens.select("lot", "toxic", F.explode(F.transform("run", around)).alias("t")).select("lot", "toxic", "t.*")
+    starts = [F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STARTS]
+    typed = F.explode(F.array_compact(F.array("word", *starts))).alias("type")
+    seen = tokens.groupBy("word", "near").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
+    stats = seen.select(typed, "near", "n1", "n0").groupBy("type", "near").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    stats = stats.groupBy("type").agg(
+        F.sum("n1").alias("n"),
+        F.count(F.when(F.col("n1") > 0, 1)).alias("yes"),
+        F.count(F.when(F.col("n0") > 0, 1)).alias("no"),
+    )
+    stats = settle(stats.where("n > 0"), "toxicity-types")
+    enough = math.log(100 * stats.count())
+    # even if none of a type were in clean texts, so many would be needed
+    stats = stats.where(F.col("n") >= enough / -math.log(share))
+    words = tokens.where("toxic = 1").select("lot", "word").distinct()
+    texts = words.select("lot", typed).distinct().groupBy("type").agg(F.count(F.lit(1)).alias("texts"))
+    under = words.select("word").distinct().select("word", F.explode(F.array_compact(F.array(*starts))).alias("type"))
+    of_word = stats.select(F.col("type").alias("word"), F.col("yes").alias("word_yes"))
+    under = under.join(of_word, "word", "left").groupBy("type").agg(
+        F.count(F.lit(1)).alias("words"), F.max(F.coalesce("word_yes", F.lit(0))).alias("most")
+    )
+    # long toxic texts among short clean ones make any type's part large
+    often = F.col("yes") / (F.col("yes") + F.col("no")) > max(0.9, share)
+    found = stats.where(often).join(texts, "type").where("2 * yes >= texts").join(under, "type", "left")
+    found = found.where("words is null or (words >= 3 and 2 * most <= yes)").select("type", "yes", "no")
+    return {r.type for r in found.collect() if _surprise(r.yes, r.no, share) >= enough}
+
+
+def _surprise(yes: int, no: int, share: float) -> float:
+    """How far a type's neighbourhoods lie from chance, as a log-likelihood."""
+    part = yes / (yes + no)
+    return yes * math.log(part / share) + (no * math.log((1 - part) / (1 - share)) if no else 0.0)
+
+
+def marked_pieces(rows: DataFrame, marks: set[str], segments: int) -> list[tuple[bool, list[str]]]:
+    """(has a marked token, tokens) of segments to learn from: of each kind at most ``segments``, by a hash."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lots, hits, parts = [], [], []
+            for lot, toxic, runs in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                own = [r[k : k + SEGMENT] for r in runs for k in range(0, len(r), SEGMENT)]
+                lots += [f"{lot} {k}" for k in range(len(own))]
+                hits += [bool(toxic) and any(t in marks for w in part for t in _types(w)) for part in own]
+                parts += [" ".join(part) for part in own]
+            arrays = [pa.array(lots, pa.string()), pa.array(hits, pa.bool_()), pa.array(parts, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["lot", "hit", "part"])
+
+    pieces = rows.select("lot", "toxic", "runs").mapInArrow(cut, "lot string, hit boolean, part string")
+    pieces = settle(pieces.withColumn("lot", F.xxhash64("lot")), "toxicity-pieces")
+    kinds = [drawn(pieces.where(F.col("hit") == hit), "lot", segments).orderBy("lot", "part") for hit in (True, False)]
+    return [(r.hit, r.part.split()) for kind in kinds for r in kind.select("hit", "part").toLocalIterator()]
 
 
 def toxic_types(words: list[Runs], toxic: np.ndarray) -> set[str]:
@@ -147,8 +220,7 @@ def toxic_types(words: list[Runs], toxic: np.ndarray) -> set[str]:
         own = under.get(t)
         if own is not None and (len(own) < 3 or 2 * max(len(around[1].get(w, ())) for w in own) > yes):
             continue
-        surprise = yes * math.log(part / share) + (no * math.log((1 - part) / (1 - share)) if no else 0.0)
-        if surprise >= enough:
+        if _surprise(yes, no, share) >= enough:
             found.add(t)
     return found
 
@@ -238,25 +310,26 @@ def fit(texts: list[str], toxic: np.ndarray, segments: int = 12_000, steps: int
 
 def fit_runs(words: list[Runs], toxic: np.ndarray, segments: int = 12_000, steps: int = 40) -> Field:
     """``fit`` on the tokens of labelled texts."""
-    same: dict[str, str] = {}
-    words = [[[same.setdefault(w, w) for w in tokens] for tokens in runs] for runs in words]
     marks = toxic_types(words, toxic)
-    if not marks:
-        return Field({}, 0.0, np.zeros(2), np.zeros((2, 2)))
-    counts: dict[str, int] = defaultdict(int)
-    pieces = []  # (has toxic tokens, words, marks)
+    pieces = []  # (has toxic tokens, words)
     for runs, label in zip(words, toxic, strict=True):
-        for tokens in runs:
-            for k in range(0, len(tokens), SEGMENT):
-                part = tokens[k : k + SEGMENT]
-                y = [bool(label) and any(t in marks for t in _types(w)) for w in part]
-                pieces.append((any(y), part, y))
+        parts = [tokens[k : k + SEGMENT] for tokens in runs for k in range(0, len(tokens), SEGMENT)]
+        pieces += [(bool(label) and any(t in marks for w in part for t in _types(w)), part) for part in parts]
     # segments of all rows, with and without toxic tokens, have the same chance
     lots = np.random.default_rng(0)
     spare, marked = [p for p in pieces if not p[0]], [p for p in pieces if p[0]]
-    keep = lots.permutation(len(spare))[:segments]
-    pieces = [marked[i] for i in np.sort(lots.permutation(len(marked))[:segments])] + [spare[i] for i in keep]
-    for _, part, _ in pieces:
+    chosen = [[some[i] for i in np.sort(lots.permutation(len(some))[:segments])] for some in (marked, spare)]
+    return fit_pieces(chosen[0] + chosen[1], marks, steps)
+
+
+def fit_pieces(pieces: list[tuple[bool, list[str]]], marks: set[str], steps: int = 40) -> Field:
+    """A field for segments; the marked types mark their tokens in the segments of toxic texts."""
+    if not marks:
+        return Field({}, 0.0, np.zeros(2), np.zeros((2, 2)))
+    same: dict[str, str] = {}
+    pieces = [(hit, [same.setdefault(w, w) for w in part]) for hit, part in pieces]
+    counts: dict[str, int] = defaultdict(int)
+    for _, part in pieces:
         for w in part:
             for t in _types(w):
                 counts[t] += 1
@@ -266,11 +339,12 @@ def fit_runs(words: list[Runs], toxic: np.ndarray, segments: int = 12_000, steps
     x = np.zeros((SEGMENT, len(pieces), width), np.int32)
     y = np.zeros((SEGMENT, len(pieces)), np.int64)
     real = np.zeros((SEGMENT, len(pieces)), bool)
-    for j, (_, part, truth) in enumerate(pieces):
+    for j, (hit, part) in enumerate(pieces):
         for i, w in enumerate(part):
-            for f, t in enumerate(_types(w)):
+            types = _types(w)
+            for f, t in enumerate(types):
                 x[i, j, f] = index.get(t, 0)
-        y[: len(part), j] = truth
+            y[i, j] = hit and any(t in marks for t in types)
         real[: len(part), j] = True
     theta = np.zeros(len(index) + 1 + 1 + 2 + 4)  # type weights (0: none), bias, start, moves
     size = len(index) + 1
@@ -402,7 +476,10 @@ def learned(
     fit_toxic: int = 2000,
     fit_clean: int = 4000,
     fit_segments: int = 72,
+    segments: int = 12_000,
 ) -> Field:
     """A field fitted to the labelled rows that ``learn`` (a condition on ``doc_id``) admits."""
     admitted = F.lit(True) if learn is None else learn
-    return fit_runs(*learning_rows(docs, labels, fit_toxic, fit_clean, fit_segments, admitted))
+    rows = learning_rows(docs, labels, fit_toxic, fit_clean, fit_segments, admitted)
+    marks = marked_types(rows)
+    return fit_pieces(marked_pieces(rows, marks, segments) if marks else [], marks)
