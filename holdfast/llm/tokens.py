@@ -3,7 +3,9 @@
 Neither vocabulary family used here merges across the border between a non-space and a space, or between a
 letter and a punctuation mark after it, so the ids of a text are those of its words in a row. Numpy finds and
 hashes the words of a batch; the tokenizer encodes each new word once per worker process, and a sorted table of
-64-bit word hashes gives the ids of the rest. A full table is begun anew, which bounds its memory.
+64-bit word hashes gives the ids of the rest. The table keeps each word's bytes, and every word that it answers for is
+compared with them; a batch with words that only share a hash is encoded without it. A full table is begun anew,
+which bounds its memory.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import numpy as np
 from tokenizers import Tokenizer
 
 MOST_WORDS = 1_200_000
+#: Bytes of words in the table after which it is begun anew.
+MOST_BYTES = 48 << 20
 #: Bytes of text that are encoded at once.
 BATCH = 2 << 20
 
@@ -85,6 +89,10 @@ class WordEncoder:
         self._count = np.zeros(0, np.int32)
         self._pool = np.zeros(1 << 16, self.dtype)
         self._used = 0
+        self._begin = np.zeros(0, np.int64)
+        self._length = np.zeros(0, np.int64)
+        self._bytes = np.zeros(1 << 18, np.uint8)
+        self._filled = 0
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of one whole text; none for null or empty."""
@@ -122,11 +130,15 @@ class WordEncoder:
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(len(raw), np.int64)
         entry = self._entries(data, joined, starts, ends)
+        bounds = np.searchsorted(starts, text_starts)
+        if entry is None:
+            found = [self._word(joined[a:b].decode()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            upto = np.cumsum([0, *map(len, found)])
+            return np.fromiter((i for ids in found for i in ids), self.dtype, int(upto[-1])), np.diff(upto[bounds])
         count = self._count[entry].astype(np.int64)
         upto = np.cumsum(count)
         ids = self._pool[np.repeat(self._first[entry] - (upto - count), count) + np.arange(upto[-1])]
-        bounds = np.concatenate([[0], upto])[np.searchsorted(starts, text_starts)]
-        return ids, np.diff(bounds)
+        return ids, np.diff(np.concatenate([[0], upto])[bounds])
 
     def _words(self, data: np.ndarray, joined: bytes, text_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where words begin and end, in bytes."""
@@ -156,19 +168,17 @@ class WordEncoder:
         stops = np.flatnonzero(stop)
         return starts, stops[np.searchsorted(stops, starts, side="right")]
 
-    def _entries(self, data: np.ndarray, joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Rows of the table for all words, after encoding the new ones."""
+    def _entries(self, data: np.ndarray, joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+        """Rows of the table for all words, after encoding the new ones; none if a row's word is not the one asked for."""
         length = ends - starts
         first = np.cumsum(length) - length
         place = np.arange(int(length.sum())) - np.repeat(first, length)
-        if self._spaces:
-            codes = _BYTE[data]
-        else:
-            codes = _BYTE[_FOLD[data[np.repeat(starts - first, length) + np.arange(len(place))]]]
+        written = data if self._spaces else _FOLD[data[np.repeat(starts - first, length) + np.arange(len(place))]]
+        codes = _BYTE[written]
         powers = np.cumprod(np.full(int(length.max()) + 1, _STEP))
         hashes = _mix(np.add.reduceat(codes * powers[place], first) + length.astype(U))
         keys, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self._keys) + len(keys) > max(self._most, len(keys)):
+        if len(self._keys) + len(keys) > max(self._most, len(keys)) or self._filled > MOST_BYTES:
             self._clear()
         at = np.searchsorted(self._keys, keys)
         known = np.zeros(len(keys), bool)
@@ -186,11 +196,25 @@ class WordEncoder:
             self._pool[self._used : self._used + len(flat)] = flat
             spots = self._used + np.cumsum(counts) - counts
             self._used += len(flat)
+            sizes = length[words]
+            total = int(sizes.sum())
+            while self._filled + total > len(self._bytes):
+                self._bytes = np.concatenate([self._bytes, np.zeros_like(self._bytes)])
+            places = np.cumsum(sizes) - sizes
+            own = np.repeat(first[words] - places, sizes) + np.arange(total)
+            self._bytes[self._filled : self._filled + total] = written[own]
+            self._begin = np.insert(self._begin, at[new], self._filled + places)
+            self._length = np.insert(self._length, at[new], sizes)
+            self._filled += total
             self._keys = np.insert(self._keys, at[new], keys[new])
             self._first = np.insert(self._first, at[new], spots)
             self._count = np.insert(self._count, at[new], counts)
             at = np.searchsorted(self._keys, keys)
-        return at[inverse]
+        entry = at[inverse]
+        if (self._length[entry] != length).any():
+            return None
+        same = self._bytes[np.repeat(self._begin[entry] - first, length) + np.arange(len(place))] == written
+        return entry if same.all() else None
 
     def _word(self, word: str) -> list[int]:
         """Ids of one word by the tokenizer's own parts."""
