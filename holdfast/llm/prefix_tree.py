@@ -40,6 +40,8 @@ from holdfast.llm.components import components
 WORDS = 5
 PERCENT = 75
 BLOCK = 512
+#: Bytes of a word from which on its hash is a keyed one.
+LONG = 64
 #: Bits of the filter that is sent to every task of the second reading; 2 MB whatever the input.
 FILTER_BITS = 1 << 24
 #: Common n-grams whose counts are sent to every task (4 MB), and how often one must be in a batch of sets.
@@ -81,6 +83,10 @@ def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
     first = np.cumsum(lengths) - lengths
     codes *= powers[np.arange(len(codes)) - np.repeat(first, lengths)]
     words = _mix(np.add.reduceat(codes, first) + lengths.astype(U)) if len(first) else np.zeros(0, U)
+    # such sums are alike for some long words, whatever the codes, so these are hashed otherwise
+    for k in np.flatnonzero(lengths > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=b"word").digest()
+        words[k] = int.from_bytes(digest, "little")
     bounds = np.concatenate([[0], np.searchsorted(starts, text_ends)])
     grams = np.zeros(max(len(words) - n + 1, 0), U)
     for k in range(n):
@@ -557,7 +563,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     """
     kept = groups(docs, id_col=id_col, **options).where("doc_id = component_id").select("doc_id").distinct()
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"))
-    first = Window.partitionBy("doc_id").orderBy("row")
+    cells = [(f.dataType.simpleString(), F.col("row").getField(f.name)) for f in docs.schema.fields]
+    # maps and variants have no order; their text has
+    order = [F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c for kind, c in cells]
+    first = Window.partitionBy("doc_id").orderBy(*order)
     found = rows.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     found = found.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
     return found.unionByName(docs.where(F.col(id_col).isNull()))
