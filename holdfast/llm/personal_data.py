@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import settle, small_batches
+from holdfast.llm.common import drawn, settle, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 SECRET = 4
@@ -92,7 +92,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if first:
         begin = first.start()
         for m in IP.finditer(text, begin):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
                 out.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text, begin):
             digits = m.group().replace(" ", "").replace("-", "")
@@ -246,8 +246,9 @@ def learned(found: DataFrame, fit_spans: int = 20_000) -> list[float]:
         return [0.0] * FEATURES + [-math.inf]
     patterns = [r.votes for r in counted]
     p, _ = reliabilities(patterns, np.array([r.n for r in counted], float))
-    lot = F.xxhash64("doc_id", "start")
-    rows = every.orderBy(lot, "doc_id", "start", "votes").limit(fit_spans).select("votes", "x").toPandas()
+    # only spans below the cut leave their tasks; repeated rows, whose lots are equal, stay within the limit
+    few = drawn(every.withColumn("lot", F.xxhash64("doc_id", "start")), "lot", fit_spans)
+    rows = few.orderBy("lot", "doc_id", "start", "votes").limit(fit_spans).select("votes", "x").toPandas()
     known = dict(zip(patterns, p, strict=True))
     return classifier(np.array(rows["x"].tolist()), rows["votes"].map(known).to_numpy(float)).tolist()
 
