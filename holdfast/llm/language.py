@@ -7,8 +7,9 @@ gradient touches only the bytes where it responded most. A trained filter is app
 a width of four is two lookups per byte. A text's prediction is the mean of its windows' probabilities,
 weighted by their bytes.
 
-The fit takes at most ``fit_rows`` labelled rows, chosen by a hash of their id and text, and ``WINDOWS_PER_ROW``
-windows at hashed places of each; everything else covers all rows and whole texts.
+The fit takes at most ``lang_rows`` labelled rows of each language, chosen by a hash of their id and text, so that a
+rare language is learned too, and ``row_windows`` windows at hashed places of each; everything else covers all
+rows and whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text if no
 labelled row has letters; a null language is not learned from; equal rows are judged alike; an empty table
@@ -24,34 +25,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from holdfast.llm.common import small_batches
 
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 WINDOW = 128
-WINDOWS_PER_ROW = 4
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
 def learning_windows(
-    docs: DataFrame, learn: F.Column, fit_rows: int, id_col="doc_id", text_col="text", lang_col="lang"
+    docs: DataFrame, learn: F.Column, lang_rows: int, row_windows: int, id_col="doc_id", text_col="text", lang_col="lang"
 ) -> tuple[list[str], list[str]]:
-    """(windows of text, their languages): at most ``fit_rows`` rows reach the driver, each by short cuts only."""
+    """(windows of text, their languages): at most ``lang_rows`` rows of each reach the driver, by short cuts only.
+
+    The lots of a language are compared without the texts; only rows below its cut are read again.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    lot = F.xxhash64("doc_id", "text")
+    rows = rows.withColumn("lot", F.xxhash64("doc_id", "text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("lot"))
+    cut = rows.select("lang", "lot").withColumn("nth", first).where(F.col("nth") <= lang_rows)
+    cut = cut.groupBy("lang").agg(F.max("lot").alias("cut"))
     size = F.length("text")
     cuts = [
         F.substring(
             "text", (F.pmod(F.xxhash64("doc_id", "text", F.lit(k)), F.greatest(size - WINDOW, F.lit(0)) + 1) + 1).cast("int"),
             F.lit(WINDOW),
         )
-        for k in range(WINDOWS_PER_ROW)
+        for k in range(row_windows)
     ]
-    chosen = rows.select("lang", lot.alias("lot"), "doc_id", F.array(*cuts).alias("cuts"))
-    found = chosen.orderBy("lot", "doc_id", "lang").limit(fit_rows).toPandas()
+    # one row per language, as in the model itself
+    few = rows.join(F.broadcast(cut), "lang").where("lot <= cut").select("lang", "lot", F.array(*cuts).alias("cuts"))
+    # equal rows have one lot; of such rows one is learned from
+    found = few.dropDuplicates(["lang", "lot"]).orderBy("lang", "lot").toPandas()
     texts = [c for cuts in found["cuts"] for c in dict.fromkeys(cuts)]
     langs = [g for cuts, g in zip(found["cuts"], found["lang"], strict=True) for _ in dict.fromkeys(cuts)]
     return texts, langs
@@ -172,9 +181,9 @@ class Network:
         return langs, scores
 
 
-def learned(docs: DataFrame, learn: F.Column | None = None, fit_rows: int = 4000, **columns: str) -> dict:
+def learned(docs: DataFrame, learn: F.Column | None = None, lang_rows: int = 1000, row_windows: int = 4, **columns: str) -> dict:
     """A model from the labelled rows that ``learn`` (a condition on ``doc_id``) admits."""
-    return fit(*learning_windows(docs, F.lit(True) if learn is None else learn, fit_rows, **columns))
+    return fit(*learning_windows(docs, F.lit(True) if learn is None else learn, lang_rows, row_windows, **columns))
 
 
 def predicted(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
