@@ -148,9 +148,8 @@ def reduced(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[
         changed = False
         for size in map(int, np.flatnonzero(sizes.n > 0)[::-1]):
             while sizes.n[size] > 0 and (found := _dominating(sizes, size, capacity)):
+                # pieces only get fewer, so the set dominates as long as its own pieces last
                 times = int(sizes.n[size]) // 2 if len(found) == 2 and found[1] == size else int(sizes.n[list(found)].min())
-                if not (len(found) == 2 and sum(found) == capacity or len(found) == 1):
-                    times = 1  # which partner is best may change with the counts
                 for piece in found:
                     sizes.n[piece] -= times
                 fixed[found] += times
