@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,36 @@ def held_out(column, modulus: int, remainder: int) -> F.Column:
     return F.coalesce(crc32_of(column) % modulus == remainder, F.lit(True))
 
 
+def release() -> None:
+    """Give freed memory back to the system; a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another allocator
+        return
+
+
+def tidy(kernel: Callable) -> Callable:
+    """The kernel of a ``mapInArrow``; once it has ended, its memory is released."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        release()
+
+    return run
+
+
+def tidy_group(kernel: Callable) -> Callable:
+    """The same for a group of ``applyInArrow``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = kernel(table)
+        release()
+        return out
+
+    return run
+
+
 def small_batches(
     batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 8 << 20
 ) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from holdfast.llm.common import numbered, range_part, settle, small_batches
+from holdfast.llm.common import numbered, range_part, settle, small_batches, tidy
 from holdfast.llm.tokens import BATCH, encoder
 
 #: Pieces that are packed at once where sequences follow the order of the documents.
@@ -84,7 +84,7 @@ def cut(
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     schema += "" if place_col is None else ", place long"
-    return rows.mapInArrow(pieces, schema)
+    return rows.mapInArrow(tidy(pieces), schema)
 
 
 class _Sizes:
@@ -252,7 +252,7 @@ def placed(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
             )
 
     schema = ", ".join(f"`{c}` {ranked.schema[c].dataType.simpleString()}" for c in names)
-    return ranked.select(*names, "_number").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*names, "_number").mapInArrow(tidy(place), f"{schema}, sequence_id long, offset long")
 
 
 def packed(

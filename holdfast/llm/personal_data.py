@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import drawn, settle, small_batches
+from holdfast.llm.common import drawn, settle, small_batches, tidy
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 SECRET = 4
@@ -190,7 +190,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         f"doc_id {kind}, base array<struct<start:bigint,kind:int,end:bigint>>, "
         "found array<struct<start:bigint,end:bigint,votes:string,x:array<double>>>"
     )
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(tidy(scan), schema)
 
 
 class Taken:
@@ -323,7 +323,7 @@ def masked(docs: DataFrame, weights: list[float], text_col: str = "text", length
                 columns[long] = pa.array(sizes, pa.int64()).cast(batch.schema.field(long).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(mask, docs.schema)
+    return docs.mapInArrow(tidy(mask), docs.schema)
 
 
 def found_in(docs: DataFrame, **columns: str) -> tuple[DataFrame, list[float]]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from holdfast.llm.common import numbered, settle, small_batches
+from holdfast.llm.common import numbered, settle, small_batches, tidy, tidy_group
 from holdfast.llm.components import components
 
 WORDS = 5
@@ -151,7 +151,7 @@ def _dealt(docs: DataFrame, n: int, parts: int) -> DataFrame:
             serial += 1
 
     schema = f"part int, chunk long, ids array<{kind.simpleString()}>, digests array<binary>, sizes binary, marks binary"
-    return docs.select("doc_id", "text").mapInArrow(deal, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(deal), schema)
 
 
 def _count_part(table: pa.Table) -> pa.Table:
@@ -194,7 +194,7 @@ def _common(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 [pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["gram", "n"]
             )
 
-    rows = classes.select("hashes").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = classes.select("hashes").mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     top = rows.orderBy(F.desc("n"), "gram").limit(MOST_COMMON).toPandas()
     keys = top["gram"].to_numpy(np.int64).view(U)
     order = np.argsort(keys)
@@ -248,9 +248,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 ["doc_id", "n", "hashes"],
             )
 
-    some = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(keep, f"doc_id {kind}, text string")
+    some = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(tidy(keep), f"doc_id {kind}, text string")
     exact = some.join(wanted.select("doc_id"), "doc_id", "left_semi")
-    return exact.mapInArrow(gather, f"doc_id {kind}, n long, hashes binary")
+    return exact.mapInArrow(tidy(gather), f"doc_id {kind}, n long, hashes binary")
 
 
 def _needed(n: int, percent: int) -> int:
@@ -276,7 +276,7 @@ def _prefixes(classes: DataFrame, common, percent: int) -> DataFrame:
                 )
 
     kind = classes.schema["doc_id"].dataType.simpleString()
-    return classes.select("doc_id", "hashes").mapInArrow(emit, f"gram long, doc_id {kind}")
+    return classes.select("doc_id", "hashes").mapInArrow(tidy(emit), f"gram long, doc_id {kind}")
 
 
 class Tree:
@@ -449,7 +449,7 @@ def _join_groups(table: pa.Table, percent: int) -> pa.Table:
 def _links(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
     members = members.select(*dict.fromkeys([*keys, "cluster", "doc_id", "n", "hashes", "tie"]))
     kind = members.schema["doc_id"].dataType.simpleString()
-    return members.groupBy(*keys).applyInArrow(lambda t: _join_groups(t, percent), f"u {kind}, v {kind}")
+    return members.groupBy(*keys).applyInArrow(tidy_group(lambda t: _join_groups(t, percent)), f"u {kind}, v {kind}")
 
 
 def _class_links(classes: DataFrame, clusters: DataFrame, percent: int, block: int) -> DataFrame:
@@ -527,13 +527,13 @@ def groups(
         _dealt(rows, n, parts)
         .groupBy("part")
         .applyInArrow(
-            _count_part,
+            tidy_group(_count_part),
             f"chunk long, ids array<{kind}>, digests array<binary>, sizes binary, shared binary",
         ),
         "gram-counts",
     )
     sizes = settle(
-        counted.groupBy("chunk").applyInArrow(_sum_chunk, f"doc_id {kind}, digest binary, n long, shared long"),
+        counted.groupBy("chunk").applyInArrow(tidy_group(_sum_chunk), f"doc_id {kind}, digest binary, n long, shared long"),
         "set-sizes",
     )
     survivors = sizes.where(f"doc_id is not null and n > 0 and shared * 100 >= n * {percent}")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import drawn, settle, small_batches
+from holdfast.llm.common import drawn, settle, small_batches, tidy
 
 TOKEN = re.compile(r"\w+")
 STARTS = (4, 5, 6)
@@ -93,7 +93,7 @@ def learning_rows(
             yield pa.RecordBatch.from_arrays([column, *batch.columns[1:]], ["runs", "toxic", "lot"])
 
     found = found.select("text", "toxic", F.xxhash64("doc_id", "text").alias("lot"))
-    cuts = settle(found.mapInArrow(cut, "runs array<array<string>>, toxic int, lot long"), "toxicity-cuts")
+    cuts = settle(found.mapInArrow(tidy(cut), "runs array<array<string>>, toxic int, lot long"), "toxicity-cuts")
     # the rows of an id may be many, equal ones among them; of equal rows one is learned from
     lots = cuts.select("toxic", "lot").distinct()
     lots = [drawn(lots.where(F.col("toxic") == k), "lot", n) for k, n in bounds]
@@ -162,7 +162,7 @@ def marked_pieces(rows: DataFrame, marks: set[str], segments: int) -> list[tuple
             arrays = [pa.array(lots, pa.string()), pa.array(hits, pa.bool_()), pa.array(parts, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["lot", "hit", "part"])
 
-    pieces = rows.select("lot", "toxic", "runs").mapInArrow(cut, "lot string, hit boolean, part string")
+    pieces = rows.select("lot", "toxic", "runs").mapInArrow(tidy(cut), "lot string, hit boolean, part string")
     pieces = settle(pieces.withColumn("lot", F.xxhash64("lot")), "toxicity-pieces")
     kinds = [drawn(pieces.where(F.col("hit") == hit), "lot", segments).orderBy("lot", "part") for hit in (True, False)]
     return [(r.hit, r.part.split()) for kind in kinds for r in kind.select("hit", "part").toLocalIterator()]
@@ -452,7 +452,7 @@ def scored(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
                 ["doc_id", "score", "predicted", "spans"],
             )
 
-    return rows.mapInArrow(judge, f"doc_id {kind}, score double, predicted int, spans string")
+    return rows.mapInArrow(tidy(judge), f"doc_id {kind}, score double, predicted int, spans string")
 
 
 def accepted(docs: DataFrame, field: Field, text_col: str = "text", most: float = 0.5) -> DataFrame:
@@ -466,7 +466,7 @@ def accepted(docs: DataFrame, field: Field, text_col: str = "text", most: float
             scores, _ = _judged(own, batch.column(at).to_pylist())
             yield batch.filter(pa.array([s < most for s in scores]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def learned(
