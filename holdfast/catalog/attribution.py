@@ -8,6 +8,7 @@ from holdfast import schema as S
 from holdfast.catalog.aggregates import rounded
 from holdfast.catalog.registry import TERM_SQL, number, query
 from holdfast.operators import attribution as A
+from holdfast.operators import segments
 from holdfast.operators.scorecard import DEFAULT_CARD
 from holdfast.operators.treeshap import Node, TreeEnsemble, tree_attributions
 from holdfast.plans.scored import scored_accounts
@@ -81,6 +82,23 @@ def segment_drivers(spark, sf_dir):
     return rounded(A.segment_drivers(_explained(spark, sf_dir), NAMES, k=3), 8, "mean_abs")
 
 
+@query(
+    "playbook_drivers",
+    _LINEAR
+    + """, strong AS (SELECT customer_segment, feature, row_number() OVER (
+    PARTITION BY customer_segment ORDER BY avg(abs(phi)) DESC, feature) AS place FROM long GROUP BY 1, 2),
+named AS (SELECT customer_segment, place, list_transform(
+    string_split(regexp_replace(regexp_replace(feature, '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' ', 'g'), ' '),
+    lambda w: upper(w[1]) || lower(w[2:])) AS w FROM strong WHERE place <= 2)
+SELECT customer_segment, string_agg(array_to_string(w, ' '), ', ' ORDER BY place) AS drivers FROM named GROUP BY 1""",
+)
+def playbook_drivers(spark, sf_dir):
+    """The playbook with its drivers worked out from the attributions."""
+    explained = _explained(spark, sf_dir)
+    found = segments.playbook(explained, A.segment_drivers(explained, NAMES, k=2))
+    return found.select("customer_segment", "drivers")
+
+
 @query(
     "customer_top_drivers",
     _LINEAR

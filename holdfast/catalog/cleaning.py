@@ -338,6 +338,18 @@ def folds(spark, sf_dir):
     return folded.groupBy("Churn", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "folds_stratified",
+    f"""
+SELECT account_id, "Churn", CAST(r > round(n * 1 / 3.0::DOUBLE) AS INTEGER) + CAST(r > round(n * 2 / 3.0::DOUBLE) AS INTEGER) AS fold
+FROM (SELECT account_id, "Churn", count(*) OVER (PARTITION BY "Churn") AS n,
+  row_number() OVER (PARTITION BY "Churn" ORDER BY {uniform('account_id', 'fold')}, account_id) AS r FROM accounts)""",
+)
+def folds_stratified(spark, sf_dir):
+    """Folds with the same share of each class, as the search takes them."""
+    return sampling.stratified_folds(accounts(spark, sf_dir), S.KEY, "Churn", folds=3).select(S.KEY, "Churn", "fold")
+
+
 @query(
     "sample_hash",
     f"""

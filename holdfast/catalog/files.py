@@ -173,10 +173,12 @@ def formatted_segments(spark, sf_dir):
 
 @query(
     "input_spellings",
-    """, texts AS (SELECT account_id, tenure, "SeniorCitizen" AS s, "MonthlyCharges" AS m FROM accounts)
-SELECT account_id, CASE account_id % 5 WHEN 4 THEN 0 ELSE tenure END AS tenure, s AS senior_text, s AS senior_number,
-  CASE WHEN account_id % 7 = 0 THEN 0 ELSE CAST(round(m * 100) AS BIGINT) END AS monthly_cents,
-  CASE WHEN account_id % 3 = 0 THEN NULL ELSE 4 END AS complaints FROM texts""",
+    """, texts AS (SELECT account_id, tenure, "SeniorCitizen" AS s, "MonthlyCharges" AS m FROM accounts),
+given AS (SELECT account_id, s,
+    CAST(CASE account_id % 5 WHEN 4 THEN 0 WHEN 2 THEN 10 * tenure + 5 ELSE 10 * tenure END AS BIGINT) AS tenths,
+    CASE WHEN account_id % 7 = 0 THEN 0 ELSE CAST(round(m * 100) AS BIGINT) END AS cents FROM texts)
+SELECT account_id, tenths AS tenure_tenths, s AS senior_text, s AS senior_number, cents AS monthly_cents,
+  tenths * cents AS total_mills, CASE WHEN account_id % 3 = 0 THEN NULL ELSE 4 END AS complaints FROM given""",
 )
 def input_spellings(spark, sf_dir):
     """Numbers as text with decimals, blanks or nonsense, NaN, and nulls that are no absent columns."""
@@ -200,9 +202,10 @@ def input_spellings(spark, sf_dir):
     rows = cleaning.fill_charges(cleaning.fill_defaults(odd))
     return rows.select(
         S.KEY,
-        "tenure",
+        F.round(F.col("tenure") * 10).cast("bigint").alias("tenure_tenths"),
         cleaning.senior_flag("as_text").alias("senior_text"),
         cleaning.senior_flag("as_number").alias("senior_number"),
         _cents("MonthlyCharges", "monthly_cents"),
+        F.round(F.col("TotalCharges") * 1000).cast("bigint").alias("total_mills"),
         F.col("complaints_count").alias("complaints"),
     )

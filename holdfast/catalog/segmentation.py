@@ -156,6 +156,37 @@ def segmentation_fit(spark, sf_dir):
     )
 
 
+@query(
+    "segmentation_nearest",
+    "SELECT count(*) AS n, count(*) AS at_nearest, 4 AS clusters, true AS centres_are_means, true AS cost_is_sum FROM scored",
+)
+def segmentation_nearest(spark, sf_dir):
+    """The fitted clusters checked from their centres: all rows at the nearest, centres close to the means, cost the sum."""
+    scored = scored_accounts(spark, sf_dir).drop("cluster", "customer_segment")
+    fitted = segmentation.fit_segments(scored)
+    names = [f"pt__{c}" for c in S.SEGMENT_INPUTS]
+    rows = clustering.assign_nearest(
+        fitted.model.transform(scored).withColumnRenamed("cluster", "own"), names, dict(enumerate(fitted.centres.tolist()))
+    )
+    per = rows.groupBy("own").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col("own") == F.col("cluster"), 1)).alias("at_nearest"),
+        F.sum("distance2").alias("cost"),
+        F.array(*[F.avg(n) for n in names]).alias("mean"),
+    )
+    # a run ends once the squared moves of its centres add up to at most 1e-4; the means may be a little further on
+    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in fitted.centres])
+    moves = F.zip_with("mean", F.get(centres, F.col("own")), lambda a, b: (a - b) * (a - b))
+    per = per.withColumn("moved", F.aggregate(moves, F.lit(0.0), lambda a, v: a + v))
+    return per.agg(
+        F.sum("n").alias("n"),
+        F.sum("at_nearest").alias("at_nearest"),
+        F.count(F.lit(1)).cast("int").alias("clusters"),
+        (F.sum("moved") <= 1e-2).alias("centres_are_means"),
+        (F.abs(F.sum("cost") / F.lit(fitted.cost) - 1) < 1e-9).alias("cost_is_sum"),
+    )
+
+
 @query("choose_k")
 def choose_k(spark, sf_dir):
     return segmentation.choose_k(scored_accounts(spark, sf_dir))

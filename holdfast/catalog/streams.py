@@ -71,7 +71,7 @@ def stream_score_batch(spark, sf_dir):
 
 def _updates(spark, aggregated, keys):
     path, progress = shared_folder(spark, "windows"), shared_folder(spark, "progress")
-    jobs.write_updates(aggregated, path, progress).awaitTermination()
+    jobs.write_updates(aggregated, path, progress, keys).awaitTermination()
     return jobs.latest(spark, path, aggregated.schema, keys)
 
 

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast import schema as S
-from holdfast.functions.hashing import prediction_id
+from holdfast.functions.hashing import prediction_id, record_digest
 from holdfast.session import folder_exists
 
 
 def audit_rows(scored: DataFrame, at: Column, inputs: list[str], key: str = S.KEY) -> DataFrame:
-    """Scored records to log rows; the day column partitions the stored log."""
-    rows = scored.withColumn("timestamp", at)
+    """Scored records to log rows, those without key or time among them."""
+    rows = scored.withColumns({"timestamp": at, "input_json": F.to_json(F.struct(*inputs))})
     return rows.select(
-        prediction_id(F.col(key), F.col("timestamp")).alias("prediction_id"),
+        prediction_id(F.col(key), F.col("timestamp"), F.col("input_json")).alias("prediction_id"),
         "timestamp",
-        F.to_json(F.struct(*inputs)).alias("input_json"),
+        "input_json",
         F.col("churn_prediction").alias("churn_result"),
         "probability",
         "risk_tier",
@@ -28,20 +28,28 @@ def audit_rows(scored: DataFrame, at: Column, inputs: list[str], key: str = S.KE
 BATCH = "batch_id"
 
 
-def append_rows(rows: DataFrame, path: str, batch: str) -> None:
-    """Append log rows once per ``prediction_id``, whatever the time of the record.
+RECORD = "record"
+#: The month of records without a time.
+UNTIMED = "none"
+
+
+def append_rows(rows: DataFrame, path: str, batch: str, look_up: bool = True) -> None:
+    """Append log rows once per record (id and input), whatever the time of the record; none is left out.
 
     Batch jobs and streams write the same layout: a folder per batch, months below it. A batch that runs again
-    replaces its own folder, so a retry changes nothing; ids that another batch holds for the same month are
-    left out, and the month in the join keeps the look-up to the months at hand. Rows are rebalanced by month,
-    so that a task writes few files and a large month is split.
+    replaces its own folder, so a retry changes nothing; records that another batch holds for the same month are
+    left out, and the month in the join keeps the look-up to the months at hand. Without ``look_up`` nothing is
+    read: a stream knows from its own state which records are new. Rows are rebalanced by month, so that a task
+    writes few files and a large month is split.
     """
-    rows = rows.withColumn("month", F.date_format("timestamp", "yyyy-MM")).dropDuplicates(["month", "prediction_id"])
+    month = F.coalesce(F.date_format("timestamp", "yyyy-MM"), F.lit(UNTIMED))
+    digest = record_digest(F.col("prediction_id"), F.col("input_json"))
+    rows = rows.withColumns({"month": month, RECORD: digest}).dropDuplicates(["month", RECORD])
     spark = rows.sparkSession
-    if folder_exists(spark, path):
-        known = spark.read.schema(f"prediction_id string, {BATCH} string, month string").parquet(path)
-        known = known.where(F.col(BATCH) != batch).select("month", "prediction_id")
-        rows = rows.join(known, ["month", "prediction_id"], "left_anti")
+    if look_up and folder_exists(spark, path):
+        known = spark.read.schema(f"{RECORD} string, {BATCH} string, month string").parquet(path)
+        known = known.where(F.col(BATCH) != batch).select("month", RECORD)
+        rows = rows.join(known, ["month", RECORD], "left_anti")
     rows = rows.hint("rebalance", "month")
     rows.write.mode("overwrite").partitionBy("month").parquet(f"{path}/{BATCH}={batch}")
 

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from holdfast import schema as S
 from holdfast.functions import business as B
@@ -152,11 +153,15 @@ def fill_defaults(df: DataFrame, fill_nulls: bool = False) -> DataFrame:
 
 
 def fill_charges(df: DataFrame) -> DataFrame:
-    """tenure and MonthlyCharges to 0 where unusable, TotalCharges to their product."""
-    total = number_of(df, "TotalCharges")
+    """tenure and MonthlyCharges to 0 where unusable, TotalCharges to their product.
+
+    A tenure that came as a whole-number column stays one; from text or decimals its fraction is kept.
+    """
+    total, tenure = number_of(df, "TotalCharges"), F.coalesce(number_of(df, "tenure"), F.lit(0.0))
+    whole = isinstance(df.schema["tenure"].dataType, T.IntegralType)
     df = df.withColumns(
         {
-            "tenure": F.coalesce(F.floor(number_of(df, "tenure")).try_cast("int"), F.lit(0)),
+            "tenure": tenure.cast("int") if whole else tenure,
             "MonthlyCharges": F.coalesce(number_of(df, "MonthlyCharges"), F.lit(0.0)),
         }
     )

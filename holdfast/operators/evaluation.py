@@ -49,19 +49,29 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "churn_prob")
 def roc_auc(df: DataFrame, label: str = "label", score: str = "churn_prob") -> DataFrame:
     """Exact area under the ROC curve by rank sum; tied scores share half."""
     below = running_totals(score_counts(df, label, score), "score", ["neg"])
+    return below.agg(_area().alias("roc_auc"))
+
+
+def _area() -> Column:
+    """Share of pairs won, over rows (pos, neg, cum_neg) per score in ascending order."""
     won = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0))
-    return below.agg(F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
+    return F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg"))
 
 
 def metrics(df: DataFrame, label: str = "label", score: str = "churn_prob", cut: float = 0.5) -> DataFrame:
-    """Accuracy, precision, recall, F1 and ROC-AUC in one row."""
-    positive = F.col(score) > cut
-    truth = F.col(label) == 1
-    counts = df.agg(
-        F.count(F.when(truth & positive, 1)).alias("tp"),
-        F.count(F.when(~truth & positive, 1)).alias("fp"),
-        F.count(F.when(truth & ~positive, 1)).alias("fn"),
-        F.count(F.when(~truth & ~positive, 1)).alias("tn"),
+    """Accuracy, precision, recall, F1 and ROC-AUC in one row, all from the counts per score."""
+    below = running_totals(score_counts(df, label, score), "score", ["neg"])
+    positive = F.col("score") > cut
+
+    def total(name: str, condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col(name)).otherwise(0)), F.lit(0))
+
+    counts = below.agg(
+        total("pos", positive).alias("tp"),
+        total("neg", positive).alias("fp"),
+        total("pos", ~positive).alias("fn"),
+        total("neg", ~positive).alias("tn"),
+        _area().alias("roc_auc"),
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     precision, recall = share(tp, tp + fp), share(tp, tp + fn)
@@ -70,7 +80,7 @@ def metrics(df: DataFrame, label: str = "label", score: str = "churn_prob", cut:
         precision.alias("precision"),
         recall.alias("recall"),
         _f1(precision, recall).alias("f1"),
-        roc_auc(df, label, score).scalar().alias("roc_auc"),
+        "roc_auc",
     )
 
 
@@ -108,24 +118,17 @@ def classification_report(cells: DataFrame) -> DataFrame:
     return rows.unionByName(macro).unionByName(weighted)
 
 
-def _cumulated(df: DataFrame, label: str, score: str) -> DataFrame:
-    return running_totals(score_counts(df, label, score), "score", ["pos", "neg"], descending=True)
-
-
-def _totals(df: DataFrame, label: str) -> tuple[Column, Column]:
-    one = df.agg(
-        F.struct(
-            F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
-            F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"),
-        )
-    ).scalar()
-    return one["pos"], one["neg"]
+def _cumulated(df: DataFrame, label: str, score: str) -> tuple[DataFrame, Column, Column]:
+    """(counts with running totals from the highest score, all positives, all negatives), from one scan."""
+    counts = score_counts(df, label, score)
+    one = counts.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))).scalar()
+    return running_totals(counts, "score", ["pos", "neg"], descending=True), one["pos"], one["neg"]
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "churn_prob") -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, highest first, from the origin (null threshold)."""
-    pos, neg = _totals(df, label)
-    points = _cumulated(df, label, score).select(
+    summed, pos, neg = _cumulated(df, label, score)
+    points = summed.select(
         F.col("score").alias("threshold"),
         share(F.col("cum_neg"), neg).alias("fpr"),
         share(F.col("cum_pos"), pos).alias("tpr"),
@@ -136,9 +139,9 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "churn_prob") -
 
 def pr_points(df: DataFrame, label: str = "label", score: str = "churn_prob") -> DataFrame:
     """(threshold, precision, recall) per distinct score, and the closing point (1, 0)."""
-    pos, _ = _totals(df, label)
+    summed, pos, _ = _cumulated(df, label, score)
     said = F.col("cum_pos") + F.col("cum_neg")
-    points = _cumulated(df, label, score).select(
+    points = summed.select(
         F.col("score").alias("threshold"),
         share(F.col("cum_pos"), said).alias("precision"),
         share(F.col("cum_pos"), pos).alias("recall"),
@@ -150,7 +153,7 @@ def pr_points(df: DataFrame, label: str = "label", score: str = "churn_prob") ->
 def binned_curve(df: DataFrame, label: str = "label", score: str = "churn_prob", bins: int = 1000) -> DataFrame:
     """ROC and PR figures on evenly binned scores: at most ``bins`` rows for a plot."""
     lower = F.floor(F.col(score) * bins) / bins
-    return _cumulated(df.withColumn(score, lower), label, score)
+    return _cumulated(df.withColumn(score, lower), label, score)[0]
 
 
 def threshold_sweep(df: DataFrame, label: str = "label", score: str = "churn_prob") -> DataFrame:

@@ -191,13 +191,23 @@ def review_queue(df: DataFrame) -> DataFrame:
     return df.where((F.col("churn_prob") > 0.40) & (F.col("customer_segment") == S.AT_RISK))
 
 
-def playbook(df: DataFrame) -> DataFrame:
-    """Retention play per named segment that occurs, with its churn rate and value."""
+def playbook(df: DataFrame, strongest: DataFrame | None = None, most: int = 2) -> DataFrame:
+    """Retention play per named segment that occurs, with its churn rate and value.
+
+    ``strongest`` has (customer_segment, feature, position) rows as ``attribution.segment_drivers`` gives them; its first
+    ``most`` features are the drivers then, in words, in place of the fixed text.
+    """
     plays = df.sparkSession.createDataFrame(
         list(S.PLAYBOOK),
         "position int, customer_segment string, drivers string, action string, urgency string",
     )
-    return segment_stats(df).join(F.broadcast(plays), "customer_segment").select(
+    if strongest is not None:
+        words = F.initcap(F.regexp_replace(F.regexp_replace("feature", "([a-z])([A-Z])", "$1 $2"), "_", " "))
+        first = strongest.where(F.col("position") <= most).groupBy("customer_segment").agg(
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", words.alias("w")))), lambda d: d["w"]), ", ").alias("drivers")
+        )
+        plays = plays.drop("drivers").join(first, "customer_segment", "left")
+    return segment_stats(df).join(plays, "customer_segment").select(
         "position",
         "customer_segment",
         (F.col("churn_rate") * 100).alias("churn_rate_pct"),

@@ -4,65 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from holdfast import schema as S
-from holdfast.operators import clustering, segments
+from holdfast.operators import kmeans, segments
 from holdfast.operators.power import fit_power
 
 FEATURES = "segment_features"
-#: Part of the model's definition; raise it for tables whose partitions would not fit a task's memory.
-PARTITIONS = 64
 TEMPORARY = (FEATURES, "_plane", *[f"pt__{c}" for c in S.SEGMENT_INPUTS])
 
 
 def fit_transform(df: DataFrame, columns: Sequence[str] = S.SEGMENT_INPUTS) -> PipelineModel:
     power = fit_power(df, columns)
-    names = [f"pt__{c}" for c in columns]
-    return PipelineModel([power.stage(), VectorAssembler(inputCols=names, outputCol=FEATURES)])
+    return PipelineModel([power.stage(), VectorAssembler(inputCols=_power_names(columns), outputCol=FEATURES)])
 
 
-def _cached(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows kept for the many passes of the fits.
-
-    The start of k-means draws per partition, so rows are dealt by their values to a fixed number of
-    partitions: the fit is the same on any cluster and for any file layout.
-    """
-    dealt = rows.repartition(PARTITIONS, *keys).sortWithinPartitions(*keys)
-    return dealt.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def _best_of(ready: DataFrame, k: int, n_init: int, seed: int, parallelism: int) -> KMeansModel:
-    """The fit of least cost among ``n_init`` seeds.
-
-    Inputs have unit variance. A run stops once the squared moves of all centres add up to less
-    than 1e-4; the setting is the move of a single centre.
-    """
-    tol = 0.01 / k**0.5
-
-    def fit(s: int) -> KMeansModel:
-        means = KMeans(k=k, seed=s, maxIter=300, tol=tol, featuresCol=FEATURES, predictionCol="cluster")
-        return means.fit(ready)
-
-    with ThreadPool(parallelism) as pool:
-        models = pool.map(fit, range(seed, seed + n_init))
-    return min(models, key=lambda m: m.summary.trainingCost)
+def _power_names(columns: Sequence[str]) -> list[str]:
+    return [f"pt__{c}" for c in columns]
 
 
 @dataclass
 class FittedSegments:
-    """A saved pipeline: it assigns cluster, plane coordinates and segment name."""
+    """A saved pipeline: it assigns cluster, plane coordinates and segment name. Centres are those of the fit."""
 
     model: PipelineModel
     cost: float
+    centres: np.ndarray | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.model.transform(df).drop(*TEMPORARY)
@@ -75,19 +48,27 @@ class FittedSegments:
         return FittedSegments(PipelineModel.load(path), float("nan"))
 
 
-def fit_segments(df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, parallelism: int = 8) -> FittedSegments:
-    """Fit on rows with the seven clustering inputs and the four naming columns."""
+def fit_segments(df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42) -> FittedSegments:
+    """Fit on rows with the seven clustering inputs and the four naming columns.
+
+    Inputs have unit variance after the power transform. The clusters are those of the best of ``n_init`` starts.
+    """
     rows = df.select(*dict.fromkeys([*S.SEGMENT_INPUTS, "Churn_Numeric"]))
     prepare = fit_transform(rows)
-    ready = _cached(prepare.transform(rows), S.SEGMENT_INPUTS)
-    kmeans = _best_of(ready, k, n_init, seed, parallelism)
+    ready = prepare.transform(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    names = _power_names(S.SEGMENT_INPUTS)
+    points = kmeans.kept(kmeans.weighted_points(ready, names))
+    found = kmeans.fit_all(points, [k], n_init, seed)[k]
+    points.unpersist()
+    nearest = SQLTransformer(statement=f"select *, {kmeans.nearest_sql(names, found.centres)} as cluster from __THIS__")
     plane = PCA(k=2, inputCol=FEATURES, outputCol="_plane").fit(ready)
-    names = segments.name_clusters(segments.cluster_profile(kmeans.transform(ready))).collect()  # k rows
-    cases = " ".join(f"when {r.cluster} then '{r.customer_segment}'" for r in names)
+    profile = segments.cluster_profile(nearest.transform(ready))
+    named = segments.name_clusters(profile).collect()  # k rows
+    cases = " ".join(f"when {r.cluster} then '{r.customer_segment}'" for r in named)
     parts = SQLTransformer(statement=f"select *, case cluster {cases} end as customer_segment from __THIS__")
     ready.unpersist()
-    model = PipelineModel([*prepare.stages, kmeans, plane, parts])
-    return FittedSegments(model, kmeans.summary.trainingCost)
+    model = PipelineModel([*prepare.stages, nearest, plane, parts])
+    return FittedSegments(model, found.cost, found.centres)
 
 
 def with_plane(df: DataFrame) -> DataFrame:
@@ -102,18 +83,14 @@ def segment_rows(fitted: FittedSegments, df: DataFrame) -> DataFrame:
 
 
 def choose_k(
-    df: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 10, seed: int = 42, parallelism: int = 8,
-    silhouette_up_to: int = 8,
+    df: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 10, seed: int = 42, silhouette_up_to: int = 8
 ) -> DataFrame:
-    """(k, inertia, silhouette): one best fit per k gives both figures."""
+    """(k, inertia, silhouette): the best of ``n_init`` starts for each k; all of them share their passes."""
     rows = df.select(*S.SEGMENT_INPUTS)
-    ready = _cached(fit_transform(rows).transform(rows), S.SEGMENT_INPUTS).select(FEATURES)
-    found = []
-    for k in ks:
-        model = _best_of(ready, k, n_init, seed, parallelism)
-        score = None
-        if k <= silhouette_up_to:
-            score = clustering.silhouette(model.transform(ready), FEATURES)
-        found.append((k, float(model.summary.trainingCost), score))
-    ready.unpersist()
+    names = _power_names(S.SEGMENT_INPUTS)
+    points = kmeans.kept(kmeans.weighted_points(fit_transform(rows).transform(rows), names))
+    fits = kmeans.fit_all(points, list(ks), n_init, seed)
+    scores = kmeans.silhouettes(points, {k: f.centres for k, f in fits.items() if k <= silhouette_up_to})
+    points.unpersist()
+    found = [(k, float(f.cost), scores.get(k)) for k, f in fits.items()]
     return df.sparkSession.createDataFrame(found, "k int, inertia double, silhouette double")

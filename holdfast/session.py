@@ -59,6 +59,14 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder, in whatever store the path names; none if it is not there."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from holdfast import schema as S
-from holdfast.functions.hashing import prediction_id
+from holdfast.functions.hashing import prediction_id, record_digest
 from holdfast.operators import audit, validation
 from holdfast.operators.scoring import Scorer, score_records
+from holdfast.session import folder_exists, list_folder
 
 BATCH = "batch_id"
 
@@ -57,28 +58,44 @@ def score_stream(
 ) -> StreamingQuery:
     """Validate and score arriving records; good ones go to the audit log, bad ones aside.
 
-    Every record ends up in one of the two, however late it is: there is no watermark. A prediction id that
-    either log holds from another micro-batch is left out there.
+    Every record ends up in one of the two, however late it is: there is no watermark, and records without key or
+    time are set aside with a code of their own. Which records came before is keyed state of the query, a digest
+    per record in the state store of ``remember``; a micro-batch reads neither log, and a retry finds the same state.
     """
-    stamped = records.withColumn("_at", at)
     inputs = list(records.columns)
+    whole = F.to_json(F.struct(*inputs))
+    stamped = records.withColumns({"_at": at, "_input": whole})
+    named = prediction_id(F.col(key), F.col("_at"), F.col("_input"))
+    new = stamped.withColumn("_record", record_digest(named, F.col("_input"))).dropDuplicates(["_record"])
+    missing = F.array_compact(
+        F.array(*[F.when(F.col(c).isNull(), F.lit(f"{code}:missing")) for c, code in ((key, key), ("_at", "time"))])
+    )
 
     def sink(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        good, bad = validation.split_valid(batch)
+        known = batch.where(F.size(missing) == 0)
+        good, bad = validation.split_valid(known)
+        unknown = validation.with_errors(batch.where(F.size(missing) > 0))
+        bad = bad.unionByName(unknown.withColumn("errors", F.concat(missing, "errors")))
         scored = score_records(good, scorer)
         name = f"stream-{number:012d}"
-        audit.append_rows(audit.audit_rows(scored, F.col("_at"), inputs, key), audit_path, name)
+        audit.append_rows(audit.audit_rows(scored, F.col("_at"), inputs, key), audit_path, name, look_up=False)
         aside = bad.select(
-            prediction_id(F.col(key), F.col("_at")).alias("prediction_id"),
-            F.col("_at").alias("timestamp"),
-            F.to_json(F.struct(*inputs)).alias("input_json"),
-            "errors",
+            named.alias("prediction_id"), F.col("_at").alias("timestamp"), F.col("_input").alias("input_json"), "errors"
         )
-        audit.append_rows(aside, quarantine_path, name)
+        audit.append_rows(aside, quarantine_path, name, look_up=False)
         batch.unpersist()
 
-    return _start(stamped, sink, checkpoint, "append", once, every)
+    remember(records.sparkSession)
+    return _start(new, sink, checkpoint, "append", once, every)
+
+
+def remember(spark: SparkSession) -> None:
+    """Keep the state of streams that start from now on in RocksDB: on disk, checkpointed with the query, not in the heap."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
 
 
 def time_window(column: str, size: str, slide: str | None = None, session: bool = False) -> Column:
@@ -123,22 +140,56 @@ def user_features(events: DataFrame, window: Column, late: str) -> DataFrame:
     )
 
 
-def write_updates(aggregated: DataFrame, path: str, checkpoint: str, once: bool = True, every: str = "1 minute") -> StreamingQuery:
-    """Write the groups each micro-batch changed; ``latest`` reads the current state."""
+SNAPSHOT, DELTA = "snapshot", "delta"
+
+
+def write_updates(
+    aggregated: DataFrame, path: str, checkpoint: str, keys: Sequence[str], once: bool = True, every: str = "1 minute",
+    merge_after: int = 8,
+) -> StreamingQuery:
+    """Keep the current state of all groups: a snapshot, and the groups that each micro-batch since then changed.
+
+    After ``merge_after`` micro-batches their rows and the snapshot become the next snapshot, so that ``latest``
+    reads a bounded number of folders. Each is a folder of its own, complete once Spark has put its mark there, and
+    a retried micro-batch writes the same folders again; older ones are left to whoever clears the store.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
-        _write(batch, path, number)
+        spark = batch.sparkSession
+        _write(batch, f"{path}/{DELTA}", number)
+        if (number + 1) % merge_after == 0:
+            state = _state(spark, path, aggregated.schema, keys, number)
+            state.write.mode("overwrite").parquet(f"{path}/{SNAPSHOT}/{BATCH}={number}")
 
     return _start(aggregated, sink, checkpoint, "update", once, every)
 
 
-def latest(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
-    """The newest row of every group; a group's history is at most its changed batches."""
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])).parquet(path)
+def _complete(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches below a folder that were written to the end."""
+    found = list_folder(spark, folder)
+    numbers = [int(name.split("=")[1]) for name in found if name.startswith(f"{BATCH}=")]
+    return sorted(n for n in numbers if folder_exists(spark, f"{folder}/{BATCH}={n}/_SUCCESS"))
+
+
+def _state(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], before: int | None = None) -> DataFrame:
+    """Newest row of every group from the last snapshot (one before ``before``) and the micro-batches after it."""
+    snapshots = [n for n in _complete(spark, f"{path}/{SNAPSHOT}") if before is None or n < before]
+    last = snapshots[-1] if snapshots else -1
+    deltas = [n for n in _complete(spark, f"{path}/{DELTA}") if n > last and (before is None or n <= before)]
+    rows = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())]))
+    parts = [(last, f"{path}/{SNAPSHOT}")] if snapshots else []
+    for n, folder in [*parts, *[(n, f"{path}/{DELTA}") for n in deltas]]:
+        one = spark.read.schema(schema).parquet(f"{folder}/{BATCH}={n}")
+        rows = rows.unionByName(one.withColumn(BATCH, F.lit(n).cast("long")))
     newest = Window.partitionBy(*keys).orderBy(F.desc(BATCH))
     return rows.withColumn("_at", F.row_number().over(newest)).where("_at = 1").drop("_at", BATCH)
 
 
+def latest(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """The newest row of every group: one snapshot and the few micro-batches since."""
+    return _state(spark, path, schema, keys)
+
+
 def closed_windows(aggregated: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append windows once the watermark has passed them."""
     return (

@@ -60,7 +60,7 @@ def test_numbers_in_any_spelling(spark):
     texts = spark.createDataFrame([("12.0", "1.0"), (" 7 ", "Yes"), ("12.5", "No"), ("x", "0"), (None, None)], "tenure string, SeniorCitizen string")
     texts = texts.withColumn("MonthlyCharges", F.lit("NaN")).withColumn("TotalCharges", F.lit(float("nan")))
     rows = cleaning.fill_charges(texts).withColumn("senior", cleaning.senior_flag()).collect()
-    assert [r.tenure for r in rows] == [12, 7, 12, 0, 0]
+    assert [r.tenure for r in rows] == [12, 7, 12.5, 0, 0]
     assert [r.senior for r in rows] == [1, 1, 0, 0, 0]
     assert {(r.MonthlyCharges, r.TotalCharges) for r in rows} == {(0.0, 0.0)}
     typed = spark.createDataFrame([(1.0,), (0.0,), (None,)], "SeniorCitizen double")

@@ -115,6 +115,59 @@ def test_late_records_reach_a_log(spark, sf_dir, tmp_path):
     assert ids.count() == ids.distinct().count() == rows.count()
 
 
+def test_records_without_time_or_key_are_kept(spark, sf_dir, tmp_path):
+    """Each different record is in one of the two, however often it comes; two inputs of one second are two records."""
+    rows = accounts(spark, sf_dir).where("TotalCharges is not null").limit(9).persist()
+    untimed = rows.withColumn("signup_date", F.lit(None).cast("date"))
+    keyless = rows.withColumn(S.KEY, F.lit(None).cast("long"))
+    again = rows.withColumn("MonthlyCharges", F.col("MonthlyCharges") + 1)
+    every = rows.unionByName(untimed).unionByName(keyless).unionByName(again)
+    both = untimed.withColumn(S.KEY, F.lit(None).cast("long"))
+    paths = [str(tmp_path / n) for n in ("log", "aside", "progress")]
+    for part in (every, every, both):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.read_files(spark, str(tmp_path / "in"), S.account_schema())
+        jobs.score_stream(stream, DEFAULT_CARD.score, _at(), *paths).awaitTermination()
+    log = audit.read_audit(spark, paths[0]).collect()
+    schema = "prediction_id string, input_json string, errors array<string>"
+    aside = spark.read.schema(schema).parquet(paths[1]).collect()
+    assert len(log) == 18 and len({r.input_json for r in log}) == 18
+    codes = sorted((tuple(e for e in r.errors if "missing" in e) for r in aside))
+    names = (f"{S.KEY}:missing", "time:missing")
+    want = [(names[1],)] * untimed.distinct().count() + [(names[0], names[1])] * both.distinct().count()
+    # without a key there is no second of the day either, so no time
+    want += [(names[0], names[1])] * keyless.distinct().count()
+    assert codes == sorted(want)
+    assert len({r.prediction_id for r in aside}) == len(aside) and all(r.prediction_id for r in aside)
+
+
+def test_batch_log_keeps_untimed_rows(spark, sf_dir, tmp_path):
+    scored = scoring.score_records(accounts(spark, sf_dir), DEFAULT_CARD.score).limit(20).persist()
+    rows = audit.audit_rows(scored, F.lit(None).cast("timestamp"), ["account_id", "tenure"])
+    for batch in ("a", "a", "b"):
+        audit.append_rows(rows, str(tmp_path / "log"), batch)
+    assert audit.read_audit(spark, str(tmp_path / "log")).count() == 20
+
+
+def test_window_store_is_merged(spark, tmp_path):
+    """After many micro-batches the state is one snapshot and few deltas, and the same as without merging."""
+    base = datetime.datetime(2024, 1, 1)
+    paths = {n: str(tmp_path / f"out{n}") for n in (2, 1000)}
+    for part in range(7):
+        rows = [(part, base + datetime.timedelta(hours=part * 5 + k), k % 3, "view", 1.0, "{}") for k in range(6)]
+        spark.createDataFrame(rows, S.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.read_files(spark, str(tmp_path / "in"), S.EVENT_SCHEMA, files_per_batch=1)
+    sums = jobs.user_features(stream, jobs.time_window("at_time", "12 hours"), late="30 days")
+    keys = ["user_id", "start"]
+    for n, path in paths.items():
+        jobs.write_updates(sums, path, str(tmp_path / f"progress{n}"), keys, merge_after=n).awaitTermination()
+    got = {n: sorted(map(str, jobs.latest(spark, path, sums.schema, keys).collect())) for n, path in paths.items()}
+    assert got[2] == got[1000] and len(got[2]) > 6
+    assert jobs._complete(spark, f"{paths[2]}/snapshot")[-1] >= 5
+    files = jobs.latest(spark, paths[2], sums.schema, keys).inputFiles()
+    assert len({f.rsplit("/", 1)[0] for f in files}) <= 2
+
+
 def _events(spark, folder):
     base = datetime.datetime(2024, 1, 1)
     rows = [
@@ -131,7 +184,8 @@ def _events(spark, folder):
 def test_sliding_windows(spark, tmp_path):
     stream = _events(spark, tmp_path / "in")
     sums = jobs.user_features(stream, jobs.time_window("at_time", "2 hours", "1 hour"), late="1 hour")
-    jobs.write_updates(sums, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    keys = ["user_id", "start"]
+    jobs.write_updates(sums, str(tmp_path / "out"), str(tmp_path / "progress"), keys).awaitTermination()
     rows = jobs.latest(spark, str(tmp_path / "out"), sums.schema, ["user_id", "start"]).collect()
     # Every event lies in two windows; the first two events share theirs.
     assert len(rows) == 8

@@ -131,7 +131,8 @@ def _expected(node, x, known):
         return node.value
     if node.feature in known:
         return _expected(node.left if x[node.feature] <= node.threshold else node.right, x, known)
-    return sum(c.cover / node.cover * _expected(c, x, known) for c in (node.left, node.right))
+    shares = [c.cover / node.cover if node.cover else 0.0 for c in (node.left, node.right)]
+    return sum(w * _expected(c, x, known) for w, c in zip(shares, (node.left, node.right), strict=True))
 
 
 def _shapley(root, x, n):
@@ -163,6 +164,31 @@ def test_tree_attributions_equal_the_definition():
     assert ensemble.base_value == pytest.approx(0.7 * _expected(root, x[0], set()))
 
 
+def test_attributions_of_deep_trees_equal_the_definition():
+    """Random trees with paths of up to nine features, repeated features and empty covers among them."""
+    rng = np.random.default_rng(7)
+
+    def grown(depth, cover):
+        if depth == 0 or rng.random() < 0.15:
+            return Node(cover, value=float(rng.normal()))
+        left = float(rng.integers(0, int(cover) + 1))
+        sides = [grown(depth - 1, c) for c in (left, cover - left)]
+        return Node(cover, feature=int(rng.integers(0, 9)), threshold=float(rng.normal()), left=sides[0], right=sides[1])
+
+    def spine(depth):
+        node = Node(1.0, value=3.0)
+        for f in range(depth):
+            node = Node(node.cover + 2, feature=f, threshold=0.0, left=node, right=Node(2.0, value=float(rng.normal())))
+        return node
+
+    x = rng.normal(size=(6, 9))
+    for root in [*(grown(5, 40.0) for _ in range(4)), spine(9)]:
+        ensemble = TreeEnsemble()
+        ensemble.add(root)
+        for row, phi in zip(x, ensemble.attribute(x), strict=True):
+            assert np.allclose(phi, _shapley(root, row, 9))
+
+
 @pytest.fixture(scope="module")
 def parts(spark, sf_dir):
     rows = training.labelled(featured_accounts(spark, sf_dir))
