@@ -165,7 +165,12 @@ def marked_pieces(rows: DataFrame, marks: set[str], segments: int) -> list[tuple
     pieces = rows.select("lot", "toxic", "runs").mapInArrow(tidy(cut), "lot string, hit boolean, part string")
     pieces = settle(pieces.withColumn("lot", F.xxhash64("lot")), "toxicity-pieces")
     kinds = [drawn(pieces.where(F.col("hit") == hit), "lot", segments).orderBy("lot", "part") for hit in (True, False)]
-    return [(r.hit, r.part.split()) for kind in kinds for r in kind.select("hit", "part").toLocalIterator()]
+    same: dict[str, str] = {}  # one object per word, not per token
+    return [
+        (r.hit, [same.setdefault(w, w) for w in r.part.split()])
+        for kind in kinds
+        for r in kind.select("hit", "part").toLocalIterator()
+    ]
 
 
 def toxic_types(words: list[Runs], toxic: np.ndarray) -> set[str]:
@@ -326,8 +331,6 @@ def fit_pieces(pieces: list[tuple[bool, list[str]]], marks: set[str], steps: int
     """A field for segments; the marked types mark their tokens in the segments of toxic texts."""
     if not marks:
         return Field({}, 0.0, np.zeros(2), np.zeros((2, 2)))
-    same: dict[str, str] = {}
-    pieces = [(hit, [same.setdefault(w, w) for w in part]) for hit, part in pieces]
     counts: dict[str, int] = defaultdict(int)
     for _, part in pieces:
         for w in part:
