@@ -29,6 +29,28 @@ def test_quantiles_equal_numpy(spark):
                 assert got[name, p] == pytest.approx(np.quantile(v[g == name], p), abs=1e-12)
 
 
+def test_quantiles_by_narrow_bands(spark):
+    """Sketches far smaller than the groups, so that only bands of values are looked at; hot values, nulls and NaN."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(6000):
+        value = float(np.round(rng.normal(), 2)) if i % 3 else 0.5
+        rows.append(("ab"[i % 2], value, None if i % 5 == 0 else float(rng.exponential()), float("nan") if i % 7 == 0 else 1.0))
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    found = ordered.exact_quantiles(df, ["g"], ["x", "y", "z"], probs, sketch=150).collect()
+    got = {(r.g, r.metric, r.p): r.quantile for r in found}
+    assert len(got) == 36
+    for g in "ab":
+        for k, name in enumerate("xyz"):
+            own = np.sort(np.array([r[k + 1] for r in rows if r[0] == g and r[k + 1] is not None]))
+            for p in probs:
+                at = (len(own) - 1) * p
+                low = own[int(at)]
+                want = low + (own[int(np.ceil(at))] - low) * (at - int(at))
+                assert got[g, name, p] == pytest.approx(want, nan_ok=True)
+
+
 def test_quantiles_of_tiny_and_constant_groups(spark):
     df = spark.createDataFrame([("one", 4.0), ("same", 2.0), ("same", 2.0), ("null", None)], "g string, v double")
     rows = ordered.exact_quantiles(df, ["g"], ["v"], [0.5]).collect()
