@@ -192,3 +192,17 @@ def test_too_few_rows_to_balance_are_an_error(spark):
     df = spark.createDataFrame(rows, "account_id long, features array<double>, label int")
     with pytest.raises(ValueError, match="two minority rows"):
         balance.synthetic_rows(df, "account_id", "features", "label")
+
+
+def test_buckets_are_found_by_halving(spark, capsys):
+    """No walk over all bounds per row; fewer values than buckets, and NaN."""
+    values = [0.5, 0.25, 0.75, float("nan"), 1.0, 0.125]
+    counts = spark.createDataFrame([(v, i + 1, 2) for i, v in enumerate(values)], "score double, pos long, neg long")
+    summed = ordered.running_totals(counts, "score", ["pos", "neg"])
+    summed.explain("extended")
+    assert "lambda" not in capsys.readouterr().out
+    total = 0
+    for row in sorted(summed.collect(), key=lambda r: (r.score != r.score, r.score)):
+        total += row.pos
+        assert row.cum_pos == total
+    assert total == sum(range(1, 7))
