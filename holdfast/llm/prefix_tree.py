@@ -7,7 +7,8 @@ of a group of copies:
 1. N-gram fingerprints are dealt to tasks by their hash, as blocks of bytes, and counted there. Only documents
    that share ``percent`` of their n-grams with any other document can link; the rest are done.
 2. Equal sets become one class. Each class sends the rarest n-grams of its set, so many that two linked
-   sets have one in common (prefix filter); classes that meet there form clusters.
+   sets have one in common (prefix filter); classes that meet there form clusters. The n-grams are counted over
+   all classes, and those that only one class has need not be sent, so that unlike texts seldom meet.
 3. Within a cluster, or between blocks of a large one, the sets go into a prefix tree in one global order,
    the most common n-grams first, so that near copies share long paths. A set walks down the tree with
    the overlap so far; it leaves a subtree when the remaining lengths cannot reach the bound, or when
@@ -44,9 +45,8 @@ BLOCK = 512
 LONG = 64
 #: Bits of the filter that is sent to every task of the second reading; 2 MB whatever the input.
 FILTER_BITS = 1 << 24
-#: Common n-grams whose counts are sent to every task (4 MB), and how often one must be in a batch of sets.
-MOST_COMMON = 1 << 18
-COMMON_FROM = 2
+#: N-grams of the classes that one task counts, about.
+GRAMS_PER_PART = 1 << 22
 
 U = np.uint64
 _rng = np.random.default_rng(20)
@@ -113,6 +113,19 @@ def _low(hashes: np.ndarray) -> np.ndarray:
     return (hashes & U(0xFFFFFFFF)).astype("<u4")
 
 
+def _spread(sets: list[np.ndarray], parts: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    """(parts, how many n-grams each set has there, their fingerprints); part 0 is always there."""
+    hashes = np.concatenate(sets)
+    part = _part(hashes, parts)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    low, owner = _low(hashes)[order], owner[order]
+    used = [p for p in range(parts) if cuts[p + 1] > cuts[p] or not p]
+    counts = [np.bincount(owner[cuts[p] : cuts[p + 1]], minlength=len(sets)).astype("<u4").tobytes() for p in used]
+    return used, counts, [low[cuts[p] : cuts[p + 1]].tobytes() for p in used]
+
+
 def _dealt(docs: DataFrame, n: int, parts: int) -> DataFrame:
     """part, chunk and, for the documents of a chunk, the sizes and fingerprints of their n-grams there.
 
@@ -124,27 +137,19 @@ def _dealt(docs: DataFrame, n: int, parts: int) -> DataFrame:
         task, serial = TaskContext.get().partitionId(), 0
         for batch in small_batches(batches, most_bytes=2 << 20):
             sets = shingle_sets(batch.column(1).to_pylist(), n)
-            sizes = np.array([len(s) for s in sets])
-            hashes = np.concatenate(sets)
-            part = _part(hashes, parts)
-            owner = np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            low, owner = _low(hashes)[order], owner[order]
+            used, counts, marks = _spread(sets, parts)
             ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             digests = pa.array([digest], pa.list_(pa.binary()))
             none, no_digests = pa.array([None], ids.type), pa.array([None], digests.type)
-            used = [p for p in range(parts) if cuts[p + 1] > cuts[p] or not p]
-            counts = [np.bincount(owner[cuts[p] : cuts[p + 1]], minlength=len(sets)).astype("<u4") for p in used]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(used, pa.int32()),
                     pa.array([(task << 32) + serial] * len(used), pa.int64()),
                     pa.concat_arrays([none if p else ids for p in used]),
                     pa.concat_arrays([no_digests if p else digests for p in used]),
-                    pa.array([c.tobytes() for c in counts], pa.binary()),
-                    pa.array([low[cuts[p] : cuts[p + 1]].tobytes() for p in used], pa.binary()),
+                    pa.array(counts, pa.binary()),
+                    pa.array(marks, pa.binary()),
                 ],
                 ["part", "chunk", "ids", "digests", "sizes", "marks"],
             )
@@ -179,37 +184,6 @@ def _sum_chunk(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": ids, "digest": digests, "n": pa.array(add("sizes")), "shared": pa.array(add("shared"))})
 
 
-def _common(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams, counts) of the most common n-grams of the classes, sorted; at most ``MOST_COMMON``.
-
-    They only shape the global order: any other choice gives the same links.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = [np.frombuffer(cell.as_buffer(), "<u8") for cell in batch.column(0)]
-            values, counts = np.unique(np.concatenate([*cells, np.zeros(0, "<u8")]), return_counts=True)
-            often = counts >= COMMON_FROM
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["gram", "n"]
-            )
-
-    rows = classes.select("hashes").mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "gram").limit(MOST_COMMON).toPandas()
-    keys = top["gram"].to_numpy(np.int64).view(U)
-    order = np.argsort(keys)
-    return keys[order], top["n"].to_numpy(np.int64)[order]
-
-
-def _ordered(hashes: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A set in the global order, rare n-grams first."""
-    if not len(keys):
-        return hashes
-    place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    weight = np.where(keys[place] == hashes, counts[place], 0)
-    return hashes[np.lexsort((hashes, weight))]
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """doc_id, n and set of the documents whose id is wanted.
 
@@ -253,30 +227,89 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return exact.mapInArrow(tidy(gather), f"doc_id {kind}, n long, hashes binary")
 
 
-def _needed(n: int, percent: int) -> int:
+def _needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     """Least overlap of a set of n with any partner."""
     return -(-percent * n // 100)
 
 
-def _prefixes(classes: DataFrame, common, percent: int) -> DataFrame:
-    """gram, doc_id: the rarest n-grams of each class, so many that linked classes share one."""
+def _weigh_part(table: pa.Table) -> pa.Table:
+    """For one part: the n-grams of each set that occur more than once, with the logarithms of their counts."""
+    marks = [np.frombuffer(m.as_buffer(), "<u4") for m in table["marks"]]
+    _, which, counts = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
+    weights = np.minimum(8 * np.log2(counts), 255).astype(np.uint8)
+    rows, at = [], 0
+    for mine, sizes in zip(marks, table["sizes"], strict=True):
+        own = which[at : at + len(mine)]
+        at += len(mine)
+        often = counts[own] > 1
+        ends = np.cumsum(np.frombuffer(sizes.as_buffer(), "<u4"), dtype=np.int64)
+        kept = np.diff(np.concatenate([[0], np.cumsum(often)])[ends], prepend=0)
+        rows.append((kept.astype("<u4").tobytes(), mine[often].tobytes(), weights[own[often]].tobytes()))
+    found = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]
+    table = table.select(["part", "chunk", "ids", "sizes"])
+    for name, column in zip(("kept", "marks", "weights"), found, strict=True):
+        table = table.append_column(name, column)
+    return table
+
+
+def _prefix_chunk(table: pa.Table, percent: int) -> pa.Table:
+    """For one chunk of sets: the first n-grams of each, rare ones first, without those that no other set has."""
+    ids = next(x.values for x in table["ids"] if x.is_valid)
+    sizes = sum(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in table["sizes"])
+    grams, owners = [], []
+    for part, kept, marks in zip(table["part"].to_pylist(), table["kept"], table["marks"], strict=True):
+        grams.append(np.frombuffer(marks.as_buffer(), "<u4").astype(np.int64) + (part << 32))
+        owners.append(np.repeat(np.arange(len(ids)), np.frombuffer(kept.as_buffer(), "<u4")))
+    gram, owner = np.concatenate(grams), np.concatenate(owners)
+    weight = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table["weights"]])
+    order = np.lexsort((gram, weight, owner))
+    gram, owner = gram[order], owner[order]
+    shared = np.bincount(owner, minlength=len(ids))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(shared) - shared, shared)
+    # those that only one set has come first of all and use up their places
+    first = place <= (shared - _needed(sizes, percent))[owner]
+    return pa.table({"gram": gram[first], "doc_id": ids.take(pa.array(owner[first]))})
+
+
+def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
+    """gram, doc_id: the rarest n-grams of each class, so many that linked classes share one.
+
+    Counts are those over all classes, by the hash ranges of the first step. N-grams that only one class has are
+    left out, and so is a class that shares too few with others. Those whose fingerprints meet count as one, which
+    only brings more classes together.
+    """
+    spark = classes.sparkSession
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // GRAMS_PER_PART)
+    kind = classes.schema["doc_id"].dataType.simpleString()
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = common.value
-        for batch in batches:
-            grams, sizes = [], []
-            for cell in batch.column(1):
-                hashes = _ordered(np.frombuffer(cell.as_buffer(), "<u8"), keys, counts)
-                grams.append(hashes[: len(hashes) - _needed(len(hashes), percent) + 1])
-                sizes.append(len(grams[-1]))
-            if grams:
-                owner = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(grams).view(np.int64)), owner], ["gram", "doc_id"]
-                )
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, serial = TaskContext.get().partitionId(), 0
+        for batch in small_batches(batches, "hashes", most_bytes=8 << 20):
+            sets = [np.frombuffer(cell.as_buffer(), "<u8") for cell in batch.column(1)]
+            used, counts, marks = _spread(sets, parts)
+            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+            none = pa.array([None], ids.type)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(used, pa.int32()),
+                    pa.array([(task << 32) + serial] * len(used), pa.int64()),
+                    pa.concat_arrays([none if p else ids for p in used]),
+                    pa.array(counts, pa.binary()),
+                    pa.array(marks, pa.binary()),
+                ],
+                ["part", "chunk", "ids", "sizes", "marks"],
+            )
+            serial += 1
 
-    kind = classes.schema["doc_id"].dataType.simpleString()
-    return classes.select("doc_id", "hashes").mapInArrow(tidy(emit), f"gram long, doc_id {kind}")
+    shape = f"part int, chunk long, ids array<{kind}>, sizes binary, "
+    dealt = classes.select("doc_id", "hashes").mapInArrow(tidy(deal), f"{shape}marks binary")
+    weighed = settle(
+        dealt.groupBy("part").applyInArrow(tidy_group(_weigh_part), f"{shape}kept binary, marks binary, weights binary"),
+        "gram-weights",
+    )
+    first = tidy_group(lambda t: _prefix_chunk(t, percent))
+    return weighed.groupBy("chunk").applyInArrow(first, f"gram long, doc_id {kind}")
 
 
 class Tree:
@@ -543,8 +576,7 @@ def groups(
     copies = settle(copies.select(F.col("doc_id").alias("u"), F.col("root").alias("v")), "copies")
     wanted = settle(least.select(F.col("root").alias("doc_id")).distinct(), "class-ids")
     classes = settle(_sets_of(rows.where("doc_id is not null"), wanted, n), "classes")
-    common = spark.sparkContext.broadcast(_common(classes))
-    prefixes = settle(_prefixes(classes, common, percent), "prefixes")
+    prefixes = settle(_prefixes(classes, percent), "prefixes")
     meet = prefixes.groupBy("gram").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("most")).where("v <> most")
     edges = prefixes.join(meet.select("gram", "v"), "gram").select(F.col("doc_id").alias("u"), "v")
     clusters = settle(components(edges), "cluster-roots")
