@@ -115,6 +115,29 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, per_cell):
     assert some == {k: v for k, v in want.items() if k % 7 == 0}
 
 
+def test_cells_keep_their_size_and_miss_nothing():
+    """Far more cells than the 1,024 that there once were at most; few are visited, and all that must be."""
+    rng = np.random.default_rng(6)
+    x = np.unique(rng.integers(0, 60, size=(40_000, 3)).astype(float), axis=0)
+    depth = 12
+    cells = neighbors.Cells(x[rng.random(len(x)) < 0.9], depth)
+    at = cells.of(x)
+    sizes = np.bincount(at, minlength=1 << depth)
+    assert sizes.max() <= 60 and (sizes > 0).sum() > 2048
+    low, high = np.full((1 << depth, 3), np.inf), np.full((1 << depth, 3), -np.inf)
+    np.minimum.at(low, at, x)
+    np.maximum.at(high, at, x)
+    cells.bound(low, high)
+    asked, limit2 = x[:200], rng.integers(0, 9, size=200).astype(float)
+    row, cell = cells.within(asked, limit2)
+    met = set(zip(row.tolist(), cell.tolist(), strict=True))
+    near = ((asked[:, None] - x[None]) ** 2).sum(axis=2) <= limit2[:, None]
+    assert {(int(i), int(at[j])) for i, j in np.argwhere(near)} <= met
+    assert len(met) < 200 * 40
+    one = neighbors.Cells(np.ones((50, 3)), 2)
+    assert set(one.of(np.ones((9, 3))).tolist()) == {0}
+
+
 def test_neighbours_of_very_few_rows(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [5.0])], "k long, x array<double>")
     got = {r.k: [n.key for n in r.neighbors] for r in neighbors.nearest(df, "k", "x", 5).collect()}
