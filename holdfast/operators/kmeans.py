@@ -2,7 +2,8 @@
 
 Rows are counted by value first, so the work follows distinct points. Every pass reads the points once for all runs
 (number of clusters, start) that still move: a task adds up its points per run and cluster in numpy, one aggregate
-merges the tasks' sums, and the driver gets a row per run and cluster. Starts are k-means++ draws by a hash of the
+merges the tasks' sums, and the driver gets a row per run and cluster. Points are kept as blocks of bytes, so a pass hands
+them to Python without taking rows apart. Starts are k-means++ draws by a hash of the
 point, as a race of exponential times: the first k draws of a start are its k centres, so one sequence of draws serves
 every k. Nothing hangs on partitions or on the order of rows but the last digits of sums, which are rounded away.
 """
@@ -18,9 +19,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows whose distances to all centres a task holds at once.
+#: Points of a block, and those whose distances to all centres a task holds at once.
 SLICE = 2048
 DIGITS = 11
+_BLOCK = "n int, x binary, w binary, lot binary"
 
 Run = tuple[int, int]
 
@@ -66,12 +68,36 @@ def _mixed(lots: np.ndarray, salt: int) -> np.ndarray:
     return ((z >> u(12)).astype(float) + 0.5) / float(1 << 52)
 
 
+def packed(points: DataFrame) -> DataFrame:
+    """The points as blocks of at most ``SLICE``, their numbers as bytes; blocks stay as they are."""
+    if points.columns == [f.split(" ")[0] for f in _BLOCK.split(", ")]:
+        return points
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                x, w, lots = _matrix(part.column(0)), part.column(1).to_numpy(), part.column(2).to_numpy()
+                rows.append((len(x), x.tobytes(), w.tobytes(), lots.tobytes()))
+            if rows:
+                n, *blobs = zip(*rows, strict=True)
+                columns = [pa.array(n, pa.int32()), *[pa.array(b, pa.binary()) for b in blobs]]
+                yield pa.RecordBatch.from_arrays(columns, ["n", "x", "w", "lot"])
+
+    return points.select("x", "w", "lot").mapInArrow(pack, _BLOCK)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(x, w, lots) of bounded slices."""
+    """(x, w, lots) of each block."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
-            yield _matrix(part.column(0)), part.column(1).to_numpy(), part.column(2).to_numpy()
+        for n, x, w, lots in zip(*[batch.column(i) for i in range(4)], strict=True):
+            n = n.as_py()
+            yield (
+                np.frombuffer(x.as_buffer()).reshape(n, -1),
+                np.frombuffer(w.as_buffer()),
+                np.frombuffer(lots.as_buffer(), np.int64),
+            )
 
 
 def _passed(points: DataFrame, kernel: Callable, schema: str) -> DataFrame:
@@ -82,7 +108,49 @@ def _passed(points: DataFrame, kernel: Callable, schema: str) -> DataFrame:
         for part in _slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in kernel(*part)], names)
 
-    return points.select("x", "w", "lot").mapInArrow(run, schema)
+    return packed(points).mapInArrow(run, schema)
+
+
+class Nearest:
+    """The nearest centre of points under many runs of one size: ``centres`` is runs by clusters by dimensions.
+
+    Distances come from one product of matrices. Where rounding there could hide which centre is nearest, the
+    distances of that point and run are summed again as ``squared_distances`` sums them, so the answer is the same.
+    """
+
+    def __init__(self, centres: np.ndarray):
+        self.centres = centres
+        by_cluster = centres.transpose(1, 0, 2)  # clusters by runs by dimensions
+        self.shape = by_cluster.shape[:2]
+        self.flat = np.ascontiguousarray(by_cluster.reshape(-1, centres.shape[2]))
+        with np.errstate(over="ignore"):
+            self.lengths = (self.flat**2).sum(axis=1)
+            self.reach = float(np.sqrt(self.lengths.max()))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Runs by points; the lower cluster on a tie."""
+        k, runs = self.shape
+        with np.errstate(over="ignore", invalid="ignore"):
+            d = self.flat @ x.T
+            d *= -2
+            d += self.lengths[:, None]
+            d = d.reshape(k, runs, len(x))
+            slack = 1e-15 * (8 + 4 * x.shape[1]) * (np.sqrt((x * x).sum(axis=1)) + self.reach) ** 2
+            best, at = d[0].copy(), np.zeros((runs, len(x)), np.int64)
+            for c in range(1, k):
+                np.copyto(at, c, where=d[c] < best)
+                np.minimum(best, d[c], out=best)
+            best += slack
+            # not "one is clearly the least": so what is not a number is looked at again, too
+            run, point = np.nonzero((d > best).sum(axis=0) != k - 1)
+        for low in range(0, len(run), SLICE):
+            r, i = run[low : low + SLICE], point[low : low + SLICE]
+            again = np.zeros((len(r), k))
+            for j in range(x.shape[1]):
+                gap = x[i, j][:, None] - self.centres[r, :, j]
+                again += gap * gap
+            at[r, i] = again.argmin(axis=1)
+        return at
 
 
 def starts(points: DataFrame, most: int, n_init: int, seed: int) -> list[np.ndarray]:
@@ -114,47 +182,56 @@ def starts(points: DataFrame, most: int, n_init: int, seed: int) -> list[np.ndar
     return [np.array(c) for c in chosen]
 
 
-def _sums(points: DataFrame, centres: dict[Run, np.ndarray]) -> dict[Run, tuple[np.ndarray, np.ndarray, float]]:
-    """Per run: rows and sums of each cluster, and the cost; one pass and one aggregate for all runs."""
+def _sums(
+    points: DataFrame, centres: dict[Run, np.ndarray], costs: bool = False
+) -> dict[Run, tuple[np.ndarray, np.ndarray, float]]:
+    """Per run: rows and sums of each cluster, and the cost if asked for; one pass and one aggregate for all runs."""
     runs = list(centres)
     sizes = [len(centres[r]) for r in runs]
-    every = np.concatenate([centres[r] for r in runs])
     cuts = np.cumsum([0, *sizes])
+    width = next(iter(centres.values())).shape[1]
+    alike = {size: [i for i, s in enumerate(sizes) if s == size] for size in sizes}
+    groups = [(size, own, Nearest(np.stack([centres[runs[i]] for i in own]))) for size, own in alike.items()]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per run and cluster for the whole task."""
-        rows, loss = np.zeros(len(every)), np.zeros(len(every))
-        total = np.zeros(every.shape)
+        found = [np.zeros((size * len(own), width + 1)) for size, own, _ in groups]
+        loss = np.zeros(cuts[-1])
         for x, w, _ in _slices(batches):
-            d = squared_distances(x, every)
-            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                own = d[:, low:high]
-                at = own.argmin(axis=1)
-                size = high - low
-                rows[low:high] += np.bincount(at, w, size)
-                loss[low:high] += np.bincount(at, w * own[np.arange(len(x)), at], size)
-                for j in range(x.shape[1]):
-                    total[low:high, j] += np.bincount(at, w * x[:, j], size)
+            weighed = np.concatenate([w[:, None], w[:, None] * x], axis=1)
+            for total, (size, own, nearest) in zip(found, groups, strict=True):
+                at = nearest.of(x)
+                mine = at[None] == np.arange(size)[:, None, None]
+                total += mine.reshape(-1, len(x)).astype(float) @ weighed
+                for r, i in enumerate(own if costs else ()):
+                    d = np.zeros(len(x))
+                    for j in range(width):
+                        gap = x[:, j] - nearest.centres[r, at[r], j]
+                        d += gap * gap
+                    loss[cuts[i] : cuts[i + 1]] += np.bincount(at[r], w * d, size)
+        every = np.zeros((cuts[-1], width + 1))
+        for total, (size, own, _) in zip(found, groups, strict=True):
+            for r, part in enumerate(total.reshape(size, len(own), -1).transpose(1, 0, 2)):
+                every[cuts[own[r]] : cuts[own[r] + 1]] = part
         number = np.repeat(np.arange(len(runs)), sizes)
-        cluster = np.arange(len(every)) - cuts[number]
-        columns = [number, cluster, rows, list(total), loss]
-        if rows.any():
+        cluster = np.arange(cuts[-1]) - cuts[number]
+        columns = [number, cluster, every[:, 0], list(every[:, 1:]), loss]
+        if every[:, 0].any():
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["run", "cluster", "n", "total", "cost"])
 
     schema = "run long, cluster long, n double, total array<double>, cost double"
-    parts = points.select("x", "w", "lot").mapInArrow(add, schema)
-    width = every.shape[1]
+    parts = packed(points).mapInArrow(add, schema)
     merged = parts.groupBy("run", "cluster").agg(
         F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(F.col("total")[j]).alias(f"t{j}") for j in range(width)]
     )
     found = {r: (np.zeros(size), np.zeros((size, width)), 0.0) for r, size in zip(runs, sizes, strict=True)}
-    costs = dict.fromkeys(runs, 0.0)
+    loss = dict.fromkeys(runs, 0.0)
     for row in merged.collect():
         run = runs[row.run]
         found[run][0][row.cluster] = row.n
         found[run][1][row.cluster] = [row[f"t{j}"] for j in range(width)]
-        costs[run] += row.cost
-    return {r: (n, total, costs[r]) for r, (n, total, _) in found.items()}
+        loss[run] += row.cost
+    return {r: (n, total, loss[r]) for r, (n, total, _) in found.items()}
 
 
 def fit_all(
@@ -181,7 +258,7 @@ def fit_all(
         moving = ahead
     if not still:
         return {}
-    costs = {run: cost for run, (_, _, cost) in _sums(points, still).items()}
+    costs = {run: cost for run, (_, _, cost) in _sums(points, still, costs=True).items()}
     out = {}
     for k in ks:
         best = min((r for r in still if r[0] == k), key=lambda r: (round(costs[r], 6), r))

@@ -53,11 +53,11 @@ def fit_segments(df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42) ->
 
     Inputs have unit variance after the power transform. The clusters are those of the best of ``n_init`` starts.
     """
-    rows = df.select(*dict.fromkeys([*S.SEGMENT_INPUTS, "Churn_Numeric"]))
+    rows = df.select(*dict.fromkeys([*S.SEGMENT_INPUTS, "Churn_Numeric"])).persist(StorageLevel.MEMORY_AND_DISK)
     prepare = fit_transform(rows)
-    ready = prepare.transform(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    ready = prepare.transform(rows)
     names = _power_names(S.SEGMENT_INPUTS)
-    points = kmeans.kept(kmeans.weighted_points(ready, names))
+    points = kmeans.kept(kmeans.packed(kmeans.weighted_points(ready, names)))
     found = kmeans.fit_all(points, [k], n_init, seed)[k]
     points.unpersist()
     nearest = SQLTransformer(statement=f"select *, {kmeans.nearest_sql(names, found.centres)} as cluster from __THIS__")
@@ -66,7 +66,7 @@ def fit_segments(df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42) ->
     named = segments.name_clusters(profile).collect()  # k rows
     cases = " ".join(f"when {r.cluster} then '{r.customer_segment}'" for r in named)
     parts = SQLTransformer(statement=f"select *, case cluster {cases} end as customer_segment from __THIS__")
-    ready.unpersist()
+    rows.unpersist()
     model = PipelineModel([*prepare.stages, nearest, plane, parts])
     return FittedSegments(model, found.cost, found.centres)
 
@@ -86,11 +86,12 @@ def choose_k(
     df: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 10, seed: int = 42, silhouette_up_to: int = 8
 ) -> DataFrame:
     """(k, inertia, silhouette): the best of ``n_init`` starts for each k; all of them share their passes."""
-    rows = df.select(*S.SEGMENT_INPUTS)
+    rows = df.select(*S.SEGMENT_INPUTS).persist(StorageLevel.MEMORY_AND_DISK)
     names = _power_names(S.SEGMENT_INPUTS)
-    points = kmeans.kept(kmeans.weighted_points(fit_transform(rows).transform(rows), names))
+    points = kmeans.kept(kmeans.packed(kmeans.weighted_points(fit_transform(rows).transform(rows), names)))
     fits = kmeans.fit_all(points, list(ks), n_init, seed)
     scores = kmeans.silhouettes(points, {k: f.centres for k, f in fits.items() if k <= silhouette_up_to})
     points.unpersist()
+    rows.unpersist()
     found = [(k, float(f.cost), scores.get(k)) for k, f in fits.items()]
     return df.sparkSession.createDataFrame(found, "k int, inertia double, silhouette double")

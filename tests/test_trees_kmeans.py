@@ -225,3 +225,27 @@ def test_segments_are_at_their_nearest_centre(spark, sf_dir):
     scored = scored_accounts(spark, sf_dir).drop("cluster", "customer_segment")
     fitted = segmentation.fit_segments(scored, n_init=3)
     assert fitted.centres.shape == (4, len(S.SEGMENT_INPUTS))
+
+
+def test_nearest_centres_by_products_are_those_by_distances(monkeypatch):
+    """Ties, near ties, copies of centres and values far from the origin: the same answer as from the distances."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(kmeans, "SLICE", 7)
+    for offset in (0.0, 1e6):
+        centres = offset + rng.integers(0, 3, (5, 4, 3)).astype(float)
+        x = np.vstack([offset + rng.integers(0, 5, (90, 3)) / 2, offset + rng.normal(size=(50, 3)), centres.reshape(-1, 3)])
+        x = np.vstack([x, x + rng.normal(size=x.shape) * 1e-12])
+        got = kmeans.Nearest(centres).of(x)
+        assert got.tolist() == [kmeans.squared_distances(x, c).argmin(axis=1).tolist() for c in centres]
+
+
+def test_points_go_to_python_in_blocks(spark, monkeypatch):
+    """A pass reads few rows of bytes, not a row per point."""
+    monkeypatch.setattr(kmeans, "SLICE", 100)
+    df = spark.range(1000).selectExpr("cast(id as double) a", "cast(id % 7 as double) b").coalesce(1)
+    blocks = kmeans.packed(kmeans.weighted_points(df, ["a", "b"]).coalesce(1))
+    assert blocks.count() == 10 and blocks.agg(F.sum("n")).first()[0] == 1000
+    assert kmeans.packed(blocks) is blocks
+    sums = kmeans._sums(blocks, {(1, 0): np.array([[0.0, 0.0]])}, costs=True)[1, 0]
+    assert sums[0].tolist() == [1000.0] and sums[1][0, 0] == 499500.0
+    assert sums[2] == float(sum(i * i + (i % 7) ** 2 for i in range(1000)))
