@@ -1,6 +1,7 @@
 """Operators that avoid whole-group tasks, against brute force on skewed fixtures."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
@@ -229,3 +230,34 @@ def test_buckets_are_found_by_halving(spark, capsys):
         total += row.pos
         assert row.cum_pos == total
     assert total == sum(range(1, 7))
+
+
+def test_neighbours_sum_few_distances(monkeypatch):
+    """Ties, copies, bounds, shifted points and values that are no number: the answers of comparing everything."""
+    rng = np.random.default_rng(11)
+    all_pairs = neighbors._distances
+    for case in range(24):
+        monkeypatch.setattr(neighbors, "MOST_PAIRS", (1 << 21, 37, 5)[case % 3])
+        shift, width = (0.0, 1e6, -50.0)[case // 3 % 3], int(rng.integers(1, 6))
+        points = np.unique(shift + rng.integers(0, 4, (60, width)) + (case % 2) * rng.normal(size=(60, width)) * 1e-7, axis=0)
+        sizes = rng.integers(1, 4, len(points))
+        keys = [sorted(p.tolist()) for p in np.split(rng.permutation(sizes.sum()), np.cumsum(sizes)[:-1])]
+        block = pd.DataFrame({"x": list(points), "keys": keys})
+        asked = np.vstack([points[:20], shift + rng.integers(0, 4, (20, width))])
+        visitors = pd.DataFrame({"x": list(asked), "rep": np.arange(len(asked))})
+        want = neighbors._compared(visitors, block, 4)
+        limits = np.where(rng.random(len(asked)) < 0.3, np.inf, rng.integers(0, 5, len(asked)).astype(float))
+        with monkeypatch.context() as only:
+            only.setattr(neighbors, "_distances", None)
+            got = neighbors._best(visitors, block, 4)
+            near = neighbors._best(visitors.assign(limit2=limits), block, 4).set_index("rep")
+        assert got["rep"].tolist() == want["rep"].tolist()
+        for r, (d, k) in enumerate(zip(want["d"], want["k"], strict=True)):
+            assert got["d"][r].tolist() == d.tolist() and got["k"][r].tolist() == k.tolist()
+            inside = d <= limits[r]
+            some = near["d"].get(r, np.empty(0)) <= limits[r]
+            assert near["d"].get(r, np.empty(0))[some].tolist() == d[inside].tolist()
+            assert near["k"].get(r, np.empty(0))[some].tolist() == k[inside].tolist()
+        odd = visitors.assign(x=[*asked[:-2], np.full(width, np.nan), np.full(width, 1e200)])
+        assert neighbors._best(odd, block, 4)["k"].map(list).tolist() == neighbors._compared(odd, block, 4)["k"].map(list).tolist()
+    assert neighbors._distances is all_pairs
