@@ -146,9 +146,9 @@ log AS (
   FROM stamped)"""
 
 
-def logged(spark, sf_dir):
-    """One logged prediction per account, at a time within its signup day."""
-    scored = scoring.score_records(accounts(spark, sf_dir), RAW_CARD.score)
+def logged(spark, sf_dir, records=None):
+    """One logged prediction per account (``records``, if a job keeps them), at a time within its signup day."""
+    scored = scoring.score_records(accounts(spark, sf_dir) if records is None else records, RAW_CARD.score)
     at = F.timestamp_seconds(
         F.unix_date("signup_date").cast("bigint") * 86400 + F.col(S.KEY) % 86400
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from holdfast import schema as S
@@ -124,10 +125,13 @@ SELECT risk_tier, count(*) AS n, CAST(sum(CAST(round(probability * 10000) AS BIG
 def audit_written_log(spark, sf_dir):
     """A batch job and its retry, then a second batch that holds everything again: one row per id."""
     path = shared_folder(spark, "audit")
-    rows = logged(spark, sf_dir)
+    # the three runs share the joins behind the records: short columns, not the texts of the log
+    records = accounts(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = logged(spark, sf_dir, records)
     first = F.xxhash64("prediction_id") % 2 == 0
     for batch, part in (("a", rows.where(first)), ("a", rows.where(first)), ("b", rows)):
         audit.append_audit(part, path, batch)
+    records.unpersist()
     log = audit.read_audit(spark, path)
     churners = F.count(F.when(F.col("churn_result"), 1)).alias("churners")
     return log.groupBy("risk_tier").agg(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast import schema as S
+from holdfast.catalog import load
 from holdfast.operators import audit, scoring, segments
 from holdfast.operators.scorecard import DEFAULT_CARD
 from holdfast.plans.scored import featured_accounts
@@ -211,3 +212,20 @@ def test_top_driver_order_and_direction(spark, sf_dir):
         sizes = [abs(d.contribution) for d in r.drivers]
         assert len(sizes) == 8 and sizes == sorted(sizes, reverse=True)
         assert all((d.contribution > 0) == (d.direction == "increases risk") for d in r.drivers)
+
+
+def test_written_log_joins_its_records_once(spark, sf_dir, monkeypatch):
+    """The batch job, its retry and the second batch read the same kept records, which are given back."""
+    from holdfast.catalog import streams
+
+    plans, append = [], streams.audit.append_audit
+
+    def noted(part, path, batch):
+        plans.append(part._jdf.queryExecution().optimizedPlan().toString())
+        append(part, path, batch)
+
+    monkeypatch.setattr(streams.audit, "append_audit", noted)
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+    assert len(load()[0]["audit_written_log"](spark, sf_dir).collect()) == 4
+    assert len(plans) == 3 and all("InMemoryRelation" in p.split("Join")[0] and "Join" not in p.split("InMemoryRelation")[0] for p in plans)
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= before
