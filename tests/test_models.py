@@ -309,3 +309,35 @@ def test_power_exponents_have_no_fixed_range(spark):
     around = [best - 0.5, best, best + 0.5]
     curve = {r.exponent: r.log_likelihood for r in power.log_likelihoods(df, {"x": around}).collect()}
     assert curve[best] >= max(curve[around[0]], curve[around[2]])
+
+
+def test_tree_attributions_read_whole_columns(monkeypatch):
+    """Each bound of a path is one comparison of a column that lies in one piece; a batch's rows get what each gets alone."""
+    from holdfast.operators import treeshap
+
+    rng = np.random.default_rng(4)
+
+    def tree(depth, cover):
+        if not depth:
+            return treeshap.Node(cover=cover, value=float(rng.normal()))
+        share = float(rng.uniform(0.2, 0.8))
+        sides = tree(depth - 1, cover * share), tree(depth - 1, cover * (1 - share))
+        return treeshap.Node(cover, 0.0, int(rng.integers(9)), float(rng.normal()), *sides)
+
+    ensemble = treeshap.TreeEnsemble()
+    for depth in (2, 4, 8):
+        ensemble.add(tree(depth, 100.0), 0.5)
+    assert max(len(leaf.features) for leaf in ensemble.leaves) > treeshap.TABLE_PATH
+    x = rng.normal(size=(40, 9))
+    x[0], x[1], x[2, ::2] = np.nan, -np.inf, np.inf
+    seen, met = [], treeshap.Leaf.met
+    monkeypatch.setattr(treeshap.Leaf, "met", lambda leaf, values, at: seen.append(values) or met(leaf, values, at))
+    got = ensemble.attribute(x)
+    assert len(seen) == sum(len(leaf.features) for leaf in ensemble.leaves)
+    assert all(v.flags.c_contiguous and v.shape == (40,) for v in seen)
+    want = np.zeros_like(x)
+    for r, row in enumerate(x):
+        for leaf in ensemble.leaves:
+            meets = np.array([[lo < v <= hi for lo, v, hi in zip(leaf.low, row[leaf.features], leaf.high, strict=True)]])
+            want[r, leaf.features] += leaf.rows(meets.astype(int))[0]
+    assert np.allclose(got, want, atol=1e-12)
