@@ -236,6 +236,13 @@ def test_random_search(spark, parts):
     assert model.stages[-1].getNumTrees == 2
 
 
+def test_fits_have_a_scan_for_a_plan(spark, parts):
+    """Kept tables behind kept tables made plans of hundreds of megabytes of text in the driver."""
+    train, _ = parts
+    plan = training.prepare(train).balanced._jdf.queryExecution().toString()
+    assert "InMemoryRelation" not in plan and "Join" not in plan and len(plan) < 10_000
+
+
 def test_registered_models_run_the_library_defaults(spark, sf_dir, monkeypatch):
     """What each registered query passes on, beyond its rows; nothing is fitted."""
     asked = []
