@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,25 +33,51 @@ RECORD = "record"
 UNTIMED = "none"
 
 
-def append_rows(rows: DataFrame, path: str, batch: str, look_up: bool = True) -> None:
+#: Rows of one month that a task writes at most, about, when a stream appends.
+PIECE_ROWS = 2_000_000
+
+
+def _recorded(rows: DataFrame) -> DataFrame:
+    month = F.coalesce(F.date_format("timestamp", "yyyy-MM"), F.lit(UNTIMED))
+    return rows.withColumns({"month": month, RECORD: record_digest(F.col("prediction_id"), F.col("input_json"))})
+
+
+def _write(rows: DataFrame, path: str, batch: str) -> None:
+    rows.write.mode("overwrite").partitionBy("month").parquet(f"{path}/{BATCH}={batch}")
+
+
+def append_rows(rows: DataFrame, path: str, batch: str) -> None:
     """Append log rows once per record (id and input), whatever the time of the record; none is left out.
 
     Batch jobs and streams write the same layout: a folder per batch, months below it. A batch that runs again
     replaces its own folder, so a retry changes nothing; records that another batch holds for the same month are
-    left out, and the month in the join keeps the look-up to the months at hand. Without ``look_up`` nothing is
-    read: a stream knows from its own state which records are new. Rows are rebalanced by month, so that a task
-    writes few files and a large month is split.
+    left out, and the month in the join keeps the look-up to the months at hand. Rows are rebalanced by month, so
+    that a task writes few files and a large month is split.
     """
-    month = F.coalesce(F.date_format("timestamp", "yyyy-MM"), F.lit(UNTIMED))
-    digest = record_digest(F.col("prediction_id"), F.col("input_json"))
-    rows = rows.withColumns({"month": month, RECORD: digest}).dropDuplicates(["month", RECORD])
+    rows = _recorded(rows).dropDuplicates(["month", RECORD])
     spark = rows.sparkSession
-    if look_up and folder_exists(spark, path):
+    if folder_exists(spark, path):
         known = spark.read.schema(f"{RECORD} string, {BATCH} string, month string").parquet(path)
         known = known.where(F.col(BATCH) != batch).select("month", RECORD)
         rows = rows.join(known, ["month", RECORD], "left_anti")
-    rows = rows.hint("rebalance", "month")
-    rows.write.mode("overwrite").partitionBy("month").parquet(f"{path}/{BATCH}={batch}")
+    _write(rows.hint("rebalance", "month"), path, batch)
+
+
+def pieces(n: int) -> int:
+    """In how many pieces the months of a batch of ``n`` rows are written."""
+    return 1 + n // PIECE_ROWS
+
+
+def append_new(rows: DataFrame, path: str, batch: str, pieces: int) -> None:
+    """``append_rows`` for a stream, which knows from its own state which records are new: nothing is read.
+
+    A stream runs without adaptive execution, which would leave out a rebalance: each task would write a file for
+    each month. Rows go once to the piece of their month, where a record is kept once and the files are written.
+    """
+    rows = _recorded(rows).withColumn("_piece", F.pmod(F.xxhash64(RECORD), F.lit(pieces)))
+    same = Window.partitionBy("month", "_piece", RECORD).orderBy("prediction_id")
+    rows = rows.repartition("month", "_piece").withColumn("_copy", F.row_number().over(same))
+    _write(rows.where("_copy = 1").drop("_piece", "_copy"), path, batch)
 
 
 def append_audit(rows: DataFrame, path: str, batch: str) -> None:

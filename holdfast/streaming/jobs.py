@@ -64,38 +64,39 @@ def score_stream(
     """
     inputs = list(records.columns)
     whole = F.to_json(F.struct(*inputs))
-    stamped = records.withColumns({"_at": at, "_input": whole})
-    named = prediction_id(F.col(key), F.col("_at"), F.col("_input"))
-    new = stamped.withColumn("_record", record_digest(named, F.col("_input"))).dropDuplicates(["_record"])
+    named = prediction_id(F.col(key), F.col("_at"), whole)
+    # the text only makes the digest; where it is logged it is made again, instead of being shuffled and kept
+    stamped = records.withColumn("_at", at)
+    new = stamped.withColumn("_record", record_digest(named, whole)).dropDuplicates(["_record"])
     missing = F.array_compact(
         F.array(*[F.when(F.col(c).isNull(), F.lit(f"{code}:missing")) for c, code in ((key, key), ("_at", "time"))])
     )
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        known = batch.where(F.size(missing) == 0)
-        good, bad = validation.split_valid(known)
-        unknown = validation.with_errors(batch.where(F.size(missing) > 0))
-        bad = bad.unionByName(unknown.withColumn("errors", F.concat(missing, "errors")))
-        scored = score_records(good, scorer)
+        # one reading of the batch: what is put together from it twice is worked out again, with the state behind it
+        checked = validation.with_errors(batch).withColumn("errors", F.concat(missing, "errors")).persist()
+        pieces = audit.pieces(checked.count())
+        scored = score_records(checked.where(F.size("errors") == 0).drop("errors"), scorer)
         name = f"stream-{number:012d}"
-        audit.append_rows(audit.audit_rows(scored, F.col("_at"), inputs, key), audit_path, name, look_up=False)
-        aside = bad.select(
-            named.alias("prediction_id"), F.col("_at").alias("timestamp"), F.col("_input").alias("input_json"), "errors"
+        audit.append_new(audit.audit_rows(scored, F.col("_at"), inputs, key), audit_path, name, pieces)
+        aside = checked.where(F.size("errors") > 0).select(
+            named.alias("prediction_id"), F.col("_at").alias("timestamp"), whole.alias("input_json"), "errors"
         )
-        audit.append_rows(aside, quarantine_path, name, look_up=False)
-        batch.unpersist()
+        audit.append_new(aside, quarantine_path, name, pieces)
+        checked.unpersist()
 
     remember(records.sparkSession)
     return _start(new, sink, checkpoint, "append", once, every)
 
 
 def remember(spark: SparkSession) -> None:
-    """Keep the state of streams that start from now on in RocksDB: on disk, checkpointed with the query, not in the heap."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    """Keep the state of streams that start from now on in RocksDB: on disk, checkpointed with the query, not in the heap.
+
+    The keys are not counted as they are put: that would look up each once more.
+    """
+    store = "spark.sql.streaming.stateStore"
+    spark.conf.set(f"{store}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(f"{store}.rocksdb.trackTotalNumberOfRows", "false")
 
 
 def time_window(column: str, size: str, slide: str | None = None, session: bool = False) -> Column:

@@ -102,6 +102,26 @@ def test_stream_scores_equal_batch_and_drop_repeats(spark, sf_dir, tmp_path):
     assert audit.read_audit(spark, paths[0]).count() == log.count()
 
 
+def test_stream_writes_few_files_and_reads_its_batch_once(spark, sf_dir, tmp_path):
+    """Without adaptive execution a hint to rebalance does nothing; a month's rows go to one task, or its pieces."""
+    source = tmp_path / "in"
+    rows = _write_records(spark, sf_dir, source)
+    stream = jobs.read_files(spark, str(source), S.account_schema())
+    paths = [str(tmp_path / n) for n in ("log", "aside", "progress")]
+    query = jobs.score_stream(stream, DEFAULT_CARD.score, _at(), *paths)
+    query.awaitTermination()
+    for path in paths[:2]:
+        files = [f.parent for f in (tmp_path / path).rglob("*.parquet")]
+        assert len(files) == len(set(files)) > 1
+    assert audit.read_audit(spark, paths[0]).count() + spark.read.parquet(paths[1]).count() == rows.count()
+    # in whatever pieces a month is written, a record that comes twice is kept once
+    good = rows.where("TotalCharges is not null").withColumn("signup_date", F.lit("2020-05-06").cast("date"))
+    scored = audit.audit_rows(scoring.score_records(good, DEFAULT_CARD.score), _at(), good.columns)
+    audit.append_new(scored.union(scored), str(tmp_path / "pieces"), "a", 2)
+    assert audit.read_audit(spark, str(tmp_path / "pieces")).count() == good.count()
+    assert audit.pieces(10) == 1 and audit.pieces(10 * audit.PIECE_ROWS) == 11
+
+
 def test_late_records_reach_a_log(spark, sf_dir, tmp_path):
     """The second micro-batch is years older than the first; nothing may vanish."""
     rows = accounts(spark, sf_dir).persist()
