@@ -130,6 +130,22 @@ def test_drawing_with_replacement(spark):
     assert (n == 0).mean() == pytest.approx(np.exp(-1), abs=0.02)
 
 
+def test_draws_of_a_forest_are_spread_and_hash_once(spark):
+    rows = spark.range(300).select(
+        F.col("id").alias("lot"), F.col("id").cast("string").cast("binary").alias("bins"), (F.col("id") % 2).cast("double").alias("label")
+    )
+    found = trees.draws(rows.coalesce(1), 20, 7)
+    every = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    want = every.withColumn("n", trees.poisson(F.col("lot"), F.col("tree"), "forest-7")).where("n > 0")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.select("tree", "bins", "label", "n").collect()))
+    # one file's rows are drawn in more than one task
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    conditions = [line for line in plan.splitlines() if "Filter" in line and "md5" in line]
+    assert conditions and all(line.count("md5") == 1 for line in conditions)
+
+
+
 def test_fit_rows_bound(spark, learned):
     few = training.bounded(learned, 300)
     assert 200 < few.count() < 400 and training.bounded(learned, 10**9).count() == learned.count()
