@@ -151,6 +151,66 @@ def test_fit_rows_bound(spark, learned):
     assert 200 < few.count() < 400 and training.bounded(learned, 10**9).count() == learned.count()
 
 
+def test_forests_and_boosted_trees_learn_from_all_rows(spark, learned, monkeypatch):
+    """The comparison fits on every training row, however many there are."""
+    asked, prepare = [], training.prepare
+    monkeypatch.setattr(training, "bounded", lambda *_: pytest.fail("rows are left out of the fit"))
+    monkeypatch.setattr(training, "prepare", lambda train, *a, **k: asked.append(train.count()) or prepare(train, *a, **k))
+    monkeypatch.setattr(training.Prepared, "fit_forest", lambda self, **_: self.fit_boosted({"n_estimators": 2}))
+    training.compare_baselines(learned, learned, only=["Random Forest"])
+    assert asked == [learned.count()]
+
+
+def test_forest_draws_are_those_of_the_hash(spark):
+    lots = np.array([5, -7, 2**62, 0, 123456789] * 40) + np.arange(200)
+    df = spark.createDataFrame([(int(v), b"x", 1.0) for v in lots], "lot long, bins binary, label double")
+    want = {(r.lot): r.n for r in trees.draws(df, 3, 11).where("tree = 2").withColumn("lot", F.lit(0)).collect()}
+    every = df.withColumn("n", trees.poisson(F.col("lot"), F.lit(2), "forest-11")).collect()
+    assert want and trees._taken(lots, 2, 11).tolist() == [r.n for r in every]
+
+
+def test_a_large_forest_scores_from_files(spark, learned, tmp_path, monkeypatch):
+    """Trees that the driver does not hold give the same probabilities, pass by pass, and are saved and loaded."""
+    ready = training.prepare(learned, ratio=None)
+    small = ready.fit_forest(5)
+    monkeypatch.setattr(trees, "MOST_NODES", 10)
+    monkeypatch.setattr(trees, "SCORED_BYTES", 1 << 14)
+    large = ready.fit_forest(5)
+    assert large.trees.trees is None and large.trees.getNumTrees == 5
+    large.save(str(tmp_path / "forest"), learned)
+    want = {r[S.KEY]: r.churn_prob for r in small.score(learned).collect()}
+    for fit in (large, trees.FittedTrees.load(learned, str(tmp_path / "forest"), True)):
+        found = fit.score(learned.repartition(3)).collect()
+        assert len(found) == len(want) and all(r.churn_prob == want[r[S.KEY]] for r in found)
+
+
+def test_bins_beyond_a_byte_keep_their_order():
+    """A feature of 256 cuts has 257 bins; its greatest values are not those of the first bin."""
+    x = np.arange(257.0)[:, None]
+    y = (x[:, 0] == 256).astype(float)
+    cuts = [np.arange(256.0)]
+    codes = np.searchsorted(cuts[0], x[:, 0])[:, None]
+    tree, _ = trees.Grower(codes, cuts).grow(
+        y, np.ones(257), np.arange(257), None, 0.0, 0.0, 1.0, per_node=1, lots=np.random.default_rng(0)
+    )
+    assert (tree.predict(x) == y).all() and len(tree.value) == 3
+
+
+@pytest.mark.parametrize("depth", [None, 3])
+def test_trees_of_a_forest_equal_greedy_search(depth):
+    """All features tried at each node: the best split of every node, down to pure leaves."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 6, (80, 4)).astype(float)
+    n = rng.integers(1, 4, 80).astype(float)
+    y = (rng.random(80) < 0.4).astype(float)
+    codes, cuts = bins_of(x)
+    tree, leaf = trees.Grower(codes, cuts).grow(
+        n * y, n, np.arange(80), depth, 0.0, 0.0, 1.0, per_node=4, lots=np.random.default_rng(1)
+    )
+    want = greedy(x, n * y, n, np.arange(80), depth or 50, 0.0, 0.0, 1.0)
+    assert np.allclose(tree.value[leaf], want) and np.allclose(tree.predict(x), want)
+
+
 def test_stratified_folds(spark):
     rows = [(i, "a" if i % 7 == 0 else "b") for i in range(500)] + [(1000, "c"), (1001, "d"), (1002, "d")]
     df = spark.createDataFrame(rows, "account_id long, kind string")
