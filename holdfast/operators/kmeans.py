@@ -5,7 +5,8 @@ Rows are counted by value first, so the work follows distinct points. Every pass
 merges the tasks' sums, and the driver gets a row per run and cluster. Points are kept as blocks of bytes, so a pass hands
 them to Python without taking rows apart. Starts are k-means++ draws by a hash of the
 point, as a race of exponential times: the first k draws of a start are its k centres, so one sequence of draws serves
-every k. Nothing hangs on partitions or on the order of rows but the last digits of sums, which are rounded away.
+every k. Points of at most ``SENT_BYTES`` are sent to all executors instead, where a task takes a run to its end: a pass over few
+points is mostly the start of a Spark job. Nothing hangs on partitions or on the order of rows but the last digits of sums, which are rounded away.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 #: Points of a block, and those whose distances to all centres a task holds at once.
 SLICE = 2048
 DIGITS = 11
+#: Bytes of points that go to all executors at once, to have each run in one task.
+SENT_BYTES = 1 << 27
 _BLOCK = "n int, x binary, w binary, lot binary"
 
 Run = tuple[int, int]
@@ -234,6 +237,56 @@ def _sums(
     return {r: (n, total, loss[r]) for r, (n, total, _) in found.items()}
 
 
+def _moved(old: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The next centres, from the rows and sums of each cluster."""
+    return np.where(n[:, None] > 0, np.round(total / np.maximum(n, 1)[:, None], DIGITS), old)
+
+
+def _bytes(points: DataFrame) -> int:
+    """Bytes of all points."""
+    return packed(points).agg(F.sum(F.octet_length("x") + F.octet_length("w"))).first()[0] or 0
+
+
+def _in_tasks(
+    points: DataFrame, moving: dict[Run, np.ndarray], most_passes: int, tol: float
+) -> tuple[dict[Run, np.ndarray], dict[Run, int]]:
+    """The last centres and the passes of each run, worked out by a task each over points that all executors hold."""
+    spark, width = points.sparkSession, next(iter(moving.values())).shape[1]
+    # in an order of their own, so that sums do not hang on partitions
+    blocks = sorted(_slices(packed(points).toArrow().to_batches()), key=lambda b: int(b[2].min()))
+    x, w, _ = (np.concatenate(part) for part in zip(*blocks, strict=True))
+    shared = spark.sparkContext.broadcast((x, w, moving))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, w, centres = shared.value
+        for batch in batches:
+            for k, start in zip(*[batch.column(i).to_pylist() for i in range(2)], strict=True):
+                old, done, passes = centres[k, start], False, 0
+                while not done:
+                    nearest, size = Nearest(old[None]), len(old)
+                    n, total = np.zeros(size), np.zeros((size, width))
+                    for low in range(0, len(x), SLICE):
+                        part = slice(low, low + SLICE)
+                        at, own = nearest.of(x[part])[0], w[part]
+                        n += np.bincount(at, own, size)
+                        mine = (at == np.arange(size)[:, None]) * own
+                        total += mine @ x[part]
+                    new = _moved(old, n, total)
+                    passes += 1
+                    done = ((new - old) ** 2).sum() <= tol or passes >= most_passes
+                    old = new
+                columns = [pa.array([v]) for v in (k, start, passes, old.tobytes())]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "start", "passes", "centres"])
+
+    # the longest runs first, each a partition
+    keys = sorted(moving, reverse=True)
+    tasks = spark.sparkContext.parallelize(keys, len(keys)).toDF("k long, start long")
+    found = tasks.mapInArrow(run, "k long, start long, passes long, centres binary").collect()
+    shared.destroy()
+    still = {(r.k, r.start): np.frombuffer(r.centres).reshape(-1, width) for r in found}
+    return still, {(r.k, r.start): r.passes for r in found}
+
+
 def fit_all(
     points: DataFrame, ks: Sequence[int], n_init: int = 10, seed: int = 42, most_passes: int = 300, tol: float = 1e-4
 ) -> dict[int, Clusters]:
@@ -246,12 +299,15 @@ def fit_all(
     moving = {(k, s): c[:k] for k in ks for s, c in enumerate(drawn) if len(c)}
     still: dict[Run, np.ndarray] = {}
     passes = dict.fromkeys(moving, 0)
+    if moving and _bytes(points) <= SENT_BYTES:
+        still, passes = _in_tasks(points, moving, most_passes, tol)
+        moving = {}
     while moving:
         sums = _sums(points, moving)
         ahead = {}
         for run, old in moving.items():
             n, total, _ = sums[run]
-            new = np.where(n[:, None] > 0, np.round(total / np.maximum(n, 1)[:, None], DIGITS), old)
+            new = _moved(old, n, total)
             passes[run] += 1
             done = ((new - old) ** 2).sum() <= tol or passes[run] >= most_passes
             (still if done else ahead)[run] = new

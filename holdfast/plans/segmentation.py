@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from holdfast import schema as S
 from holdfast.operators import kmeans, segments
 from holdfast.operators.power import fit_power
+from holdfast.session import written
 
 FEATURES = "segment_features"
 TEMPORARY = (FEATURES, "_plane", *[f"pt__{c}" for c in S.SEGMENT_INPUTS])
@@ -57,9 +58,8 @@ def fit_segments(df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42) ->
     prepare = fit_transform(rows)
     ready = prepare.transform(rows)
     names = _power_names(S.SEGMENT_INPUTS)
-    points = kmeans.kept(kmeans.packed(kmeans.weighted_points(ready, names)))
+    points = written(kmeans.packed(kmeans.weighted_points(ready, names)), "points")
     found = kmeans.fit_all(points, [k], n_init, seed)[k]
-    points.unpersist()
     nearest = SQLTransformer(statement=f"select *, {kmeans.nearest_sql(names, found.centres)} as cluster from __THIS__")
     plane = PCA(k=2, inputCol=FEATURES, outputCol="_plane").fit(ready)
     profile = segments.cluster_profile(nearest.transform(ready))
@@ -88,10 +88,10 @@ def choose_k(
     """(k, inertia, silhouette): the best of ``n_init`` starts for each k; all of them share their passes."""
     rows = df.select(*S.SEGMENT_INPUTS).persist(StorageLevel.MEMORY_AND_DISK)
     names = _power_names(S.SEGMENT_INPUTS)
-    points = kmeans.kept(kmeans.packed(kmeans.weighted_points(fit_transform(rows).transform(rows), names)))
+    # files: a kept table has as many partitions as a shuffle, and each pass a task for each
+    points = written(kmeans.packed(kmeans.weighted_points(fit_transform(rows).transform(rows), names)), "points")
     fits = kmeans.fit_all(points, list(ks), n_init, seed)
     scores = kmeans.silhouettes(points, {k: f.centres for k, f in fits.items() if k <= silhouette_up_to})
-    points.unpersist()
     rows.unpersist()
     found = [(k, float(f.cost), scores.get(k)) for k, f in fits.items()]
     return df.sparkSession.createDataFrame(found, "k int, inertia double, silhouette double")

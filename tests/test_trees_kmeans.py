@@ -264,6 +264,24 @@ def test_kmeans_equals_lloyd_from_the_same_starts(spark):
         assert scores[k] == pytest.approx(np.mean(own))
 
 
+def test_runs_in_tasks_are_those_of_passes(spark, monkeypatch):
+    """Points that fit are sent out once, and no pass over them is a Spark job; the centres are the same."""
+    rng = np.random.default_rng(9)
+    x = np.round(np.vstack([rng.normal(m, 1.0, size=(80, 2)) for m in (0, 2, 4)]), 2)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double")
+    points = kmeans.kept(kmeans.weighted_points(df, ["a", "b"]))
+    passes, sums = [], kmeans._sums
+    monkeypatch.setattr(kmeans, "_sums", lambda *a, **k: passes.append(k) or sums(*a, **k))
+    near = kmeans.fit_all(points, [2, 3, 5], 4, 7)
+    assert passes == [{"costs": True}]
+    monkeypatch.setattr(kmeans, "SENT_BYTES", 0)
+    far = kmeans.fit_all(points, [2, 3, 5], 4, 7)
+    assert len(passes) > 3
+    for k, fit in far.items():
+        assert np.array_equal(near[k].centres, fit.centres) and near[k].passes == fit.passes
+        assert near[k].cost == pytest.approx(fit.cost)
+
+
 def test_kmeans_with_few_points(spark):
     df = spark.createDataFrame([(1.0,), (1.0,), (5.0,)], "a double")
     points = kmeans.weighted_points(df, ["a"])
