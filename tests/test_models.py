@@ -348,3 +348,38 @@ def test_tree_attributions_read_whole_columns(monkeypatch):
             meets = np.array([[lo < v <= hi for lo, v, hi in zip(leaf.low, row[leaf.features], leaf.high, strict=True)]])
             want[r, leaf.features] += leaf.rows(meets.astype(int))[0]
     assert np.allclose(got, want, atol=1e-12)
+
+
+def test_attributions_by_subtrees_equal_those_by_leaves(monkeypatch):
+    """A row looks up each feature once per subtree, not once per leaf; paths beyond a table and odd values included."""
+    from holdfast.operators import treeshap
+
+    rng = np.random.default_rng(11)
+
+    def tree(depth, cover):
+        if not depth or rng.random() < 0.1:
+            return treeshap.Node(cover=cover, value=float(rng.normal()))
+        left = cover * float(rng.choice([0.0, 0.3, 0.8]))
+        sides = tree(depth - 1, left), tree(depth - 1, cover - left)
+        return treeshap.Node(cover, 0.0, int(rng.integers(14)), float(rng.normal()), *sides)
+
+    def spine(depth):
+        node = treeshap.Node(1.0, value=3.0)
+        for f in range(depth):
+            node = treeshap.Node(node.cover + 2, 0.0, f, 0.0, node, treeshap.Node(2.0, value=float(rng.normal())))
+        return node
+
+    ensemble = treeshap.TreeEnsemble()
+    for root in [treeshap.Node(1.0, value=2.0), *(tree(d, 100.0) for d in (1, 3, 6, 6, 8)), spine(12)]:
+        ensemble.add(root, 0.5)
+    assert ensemble.long and sum(len(g.leaves) for g in ensemble.groups) + len(ensemble.long) == len(ensemble.leaves)
+    assert len(ensemble.groups) < len(ensemble.leaves) / 2
+    x = rng.normal(size=(300, 14))
+    x[0], x[1], x[2, ::2], x[3, 1] = np.nan, -np.inf, np.inf, np.nan
+    tables = {}
+    for part in (x[:100], x[100:], x[:0]):
+        assert np.allclose(ensemble.attribute_all(part, tables), ensemble.attribute(part), atol=1e-12)
+    asked = []
+    monkeypatch.setattr(treeshap.Leaf, "met", lambda leaf, values, at: asked.append(leaf) or np.zeros(len(values), bool))
+    ensemble.attribute_all(x[4:], tables)
+    assert all(leaf in ensemble.long for leaf in asked)
