@@ -261,3 +261,23 @@ def test_neighbours_sum_few_distances(monkeypatch):
         odd = visitors.assign(x=[*asked[:-2], np.full(width, np.nan), np.full(width, 1e200)])
         assert neighbors._best(odd, block, 4)["k"].map(list).tolist() == neighbors._compared(odd, block, 4)["k"].map(list).tolist()
     assert neighbors._distances is all_pairs
+
+
+def test_visits_are_handed_on_in_parts(monkeypatch):
+    """Visitors that call on all cells: the same visits, in frames of a bounded number of rows."""
+    monkeypatch.setattr(neighbors, "MOST_VISITS", 100)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3))
+    boxes = neighbors.Cells(x, 5)
+    cell = boxes.of(x)
+    low, high = np.full((32, 3), np.inf), np.full((32, 3), -np.inf)
+    np.minimum.at(low, cell, x)
+    np.maximum.at(high, cell, x)
+    boxes.bound(low, high)
+    part = pd.DataFrame({"x": list(x[:40]), "rep": np.arange(40), "limit2": np.where(np.arange(40) % 2, np.inf, 0.1)}, index=range(7, 47))
+    frames = list(neighbors._visits(boxes, part))
+    assert len(frames) > 4 and all(0 < len(f) <= 100 for f in frames)
+    row, want = boxes.within(x[:40], part["limit2"].to_numpy())
+    found = pd.concat(frames)
+    assert found["rep"].tolist() == row.tolist() and found["cell"].tolist() == want.tolist()
+    assert np.array_equal(np.stack(found["x"].to_numpy()), x[row])
