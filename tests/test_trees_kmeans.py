@@ -161,6 +161,18 @@ def test_forests_and_boosted_trees_learn_from_all_rows(spark, learned, monkeypat
     assert asked == [learned.count()]
 
 
+def test_search_learns_from_all_rows(spark, learned, monkeypatch):
+    """Folds hold every training row, and the best setting is refitted on all of them."""
+    asked, prepare, held, scores = [], training.prepare, [], trees.search_scores
+    monkeypatch.setattr(training, "bounded", lambda *_: pytest.fail("rows are left out of the search"))
+    monkeypatch.setattr(training, "prepare", lambda train, *a, **k: asked.append(train.count()) or prepare(train, *a, **k))
+    monkeypatch.setattr(trees, "search_scores", lambda parts, *a: held.append(sum(h.count() for _, h in parts)) or scores(parts, *a))
+    space = {"n_estimators": [2], "max_depth": [2], "learning_rate": [0.1]}
+    training.random_search(learned, space=space, n_iter=1, folds=2)
+    n = learned.count()
+    assert held == [n] and sum(asked[:2]) == n and asked[2] == n
+
+
 def test_forest_draws_are_those_of_the_hash(spark):
     lots = np.array([5, -7, 2**62, 0, 123456789] * 40) + np.arange(200)
     df = spark.createDataFrame([(int(v), b"x", 1.0) for v in lots], "lot long, bins binary, label double")
