@@ -173,6 +173,20 @@ def test_search_learns_from_all_rows(spark, learned, monkeypatch):
     assert held == [n] and sum(asked[:2]) == n and asked[2] == n
 
 
+def test_sums_of_codes_equal_those_of_bins():
+    """Codes that features share, added up, give the sums of each bin."""
+    rng = np.random.default_rng(12)
+    sizes = (257, 2, 2, 73, 5, 1, 2, 2, 30, 9)
+    codes = np.stack([rng.integers(0, k, 500) for k in sizes], axis=1)
+    grower = trees.Grower(codes, [np.arange(k - 1.0) for k in sizes])
+    rows, node, g = np.arange(100, 500), rng.integers(0, 3, 400), rng.integers(-9, 9, 500).astype(float)
+    (got,) = grower._sums(rows, node, 3, np.arange(len(sizes)), [g[rows]])
+    want = np.zeros((3, sum(sizes)))
+    for f in range(len(sizes)):
+        np.add.at(want, (node, grower.starts[f] + codes[rows, f]), g[rows])
+    assert np.array_equal(got, want)
+
+
 def test_forest_draws_are_those_of_the_hash(spark):
     lots = np.array([5, -7, 2**62, 0, 123456789] * 40) + np.arange(200)
     df = spark.createDataFrame([(int(v), b"x", 1.0) for v in lots], "lot long, bins binary, label double")
